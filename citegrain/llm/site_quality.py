@@ -28,7 +28,6 @@ BINS = {
     "words": (10, 20, 50, 100, 300, 1000, 5000),
     "word_length": (2, 3, 4, 5, 6, 8, 12),
     "symbol_share": (0.001, 0.01, 0.03, 0.1, 0.2),
-    "letter_share": (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9),
     "different_share": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
     "line_repeats": (0.01, 0.1, 0.2, 0.3, 0.5, 0.7),
     "stop_share": (0.02, 0.05, 0.1, 0.2, 0.3, 0.4),
@@ -46,13 +45,12 @@ def features(documents: DataFrame, host: str = "source", path: str = "lang") ->
         "words": n.cast("double"),
         "word_length": per(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")), n),
         "symbol_share": per(chars - F.length(F.translate("text", "#*$%&|<>@^~{}[]=+_\\", "")), chars),
-        "letter_share": per(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), chars),
         "different_share": per(F.size(F.array_distinct("words_")), n),
         "line_repeats": per(m - F.size(F.array_distinct("lines_")), m),
         "stop_share": per(F.size(F.filter("words_", lambda w: w.isin(*_STOPS))), n),
     }
-    binned = [sum(((v >= b).cast("int") for b in BINS[k]), F.lit(0)).alias(k) for k, v in values.items()]
-    return cut.select("doc_id", "host", "path", *binned)
+    measured = cut.select("doc_id", "host", "path", *[v.alias(k) for k, v in values.items()])
+    return measured.select("doc_id", "host", "path", *[sum(((F.col(k) >= b).cast("int") for b in bounds), F.lit(0)).alias(k) for k, bounds in BINS.items()])
 
 
 def _strength(groups: DataFrame, share: float) -> float:
@@ -90,9 +88,7 @@ def score_sites(documents: DataFrame, labels: DataFrame, host: str = "source", p
     text = F.lit(0.0)
     for measure, bounds in BINS.items():
         table = F.array(*[
-            F.lit(math.log((g + 0.5 * (share if n else 1)) / (good + 1) / ((b + 0.5 * (1 - share if n else 1)) / (n - good + 1)) * ((1 - share) / share if n else 1)))
-            if (g + b)
-            else F.lit(0.0)
+            F.lit(math.log((g + 0.5) / (good + 0.5 * (len(bounds) + 1)) / ((b + 0.5) / (n - good + 0.5 * (len(bounds) + 1)))) if g + b else 0.0)
             for k in range(len(bounds) + 1)
             for g, b in [seen.get((measure, k), (0, 0))]
         ])
@@ -101,7 +97,7 @@ def score_sites(documents: DataFrame, labels: DataFrame, host: str = "source", p
     sited = rows.join(path_means, ["host", "path"], "left").join(host_means, "host", "left")
     host_mean = F.coalesce("host_mean", F.lit(share))
     path_mean = F.coalesce("path_mean", host_mean)
-    z = F.lit(math.log(share / (1 - share))) + F.col("text_log_ratio") + _log_odds(F.col("path_posterior")) - F.lit(math.log(share / (1 - share)))
+    z = F.lit(math.log(share / (1 - share))) + F.col("text_log_ratio") + (_log_odds(F.col("path_posterior")) - F.lit(math.log(share / (1 - share))))
     out = sited.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), host_mean.alias("host_posterior"), path_mean.alias("path_posterior"), text.alias("text_log_ratio"))
     out = out.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     return out.withColumn("kept", F.col("predicted") == 1)
