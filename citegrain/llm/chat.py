@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrain.llm.common import load_tokenizer
+
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 CONTROL, CONTROL_ROLE = re.compile(r"\\|###|</turn>"), re.compile(r"\\|###|</turn>|:")
 ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
@@ -86,17 +88,10 @@ def mask(offsets: np.ndarray, spans) -> tuple[np.ndarray, list[tuple[int, int]]]
 
 def _formatter(path: str | None):
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        tokenizer.encode_special_tokens = True
+        tokenizer = load_tokenizer(path)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
+            for at in range(0, len(batch), 50):
+                part = batch.iloc[at : at + 50]
                 rendered = [render([(t["role"] or "", t["text"] or "") for t in turns]) for turns in part["turns"]]
                 out = []
                 for (text, spans), e in zip(rendered, tokenizer.encode_batch([x for x, _ in rendered], add_special_tokens=False)):

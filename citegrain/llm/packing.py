@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrain.llm.common import load_tokenizer
+
 CAPACITY, END_ID = 2048, 1
 #: Attention cost of a piece: projections grow with its length, attention scores with its square.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -106,20 +108,12 @@ def _encoder(path: str | None):
 
     byte_bpe_50k.json has the same vocabulary as byte_bpe_50k.tiktoken; the ranks give the same ids (a test compares them) in a
     quarter of the time, so the default reads those. Any other file is read by tokenizers."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
 
     made = vars(public_tokenizers).setdefault("_made", {})  # a worker that runs many tasks reads the files once
 
     def slow(text: str) -> np.ndarray:
-        if ("json", path) not in made:
-            from tokenizers import Tokenizer
-
-            made["json", path] = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-            made["json", path].encode_special_tokens = True
-        return np.array(made["json", path].encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     if path:
         return slow
