@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.llm import chat, decontaminate, line_dedup, packing, quality_rules, simhash, site_quality, suffix_dedup, toxicity
+from citegrain.llm import chat, decontaminate, line_dedup, packing, passage_dedup, quality_rules, simhash, site_quality, suffix_dedup, toxicity
 from citegrain.llm.common import table
 
 import corpus_pipeline
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.find_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -95,7 +99,7 @@ FROM cut
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op4_quality_rules, op5_site_quality, op6_line_dedup, op7_suffix_dedup, op8_simhash, op9_decontamination, op10_chat_formatting)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_passage_dedup, op4_quality_rules, op5_site_quality, op6_line_dedup, op7_suffix_dedup, op8_simhash, op9_decontamination, op10_chat_formatting)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
