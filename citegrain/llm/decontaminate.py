@@ -15,6 +15,8 @@ Very long texts are searched whole.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,8 @@ def allowed(n: int) -> int:
     return max(0, min(int(EDIT_SHARE * n), n // GRAM - 1))
 
 
-def split_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def split_words(text: str | bytes) -> list[bytes]:
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
 
 
 def embed(rows: np.ndarray, repeat: int) -> np.ndarray:
@@ -134,15 +136,17 @@ class Index:
         enough = np.flatnonzero(np.maximum.accumulate(met, axis=1).mean(0) >= TARGET_RECALL)
         return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str | bytes | None) -> list[tuple[int, int, int, int]]:
         """(item_id, first word, word after the last, edits) of each item's best passage in the text."""
-        words = split_words(text or "")
+        words = split_words(text or b"")
         if len(words) < GRAM or not self.items:
             return []
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         known = ids > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        if not len(at):
+            return []
         gram = (ids[at] * self.base + ids[at + 1]) * self.base + ids[at + 2]
         left, right = np.searchsorted(self.grams, gram, "left"), np.searchsorted(self.grams, gram, "right")
         count = right - left
@@ -209,7 +213,7 @@ def matches_column(spark, items: list[tuple[int, str]], text: Column) -> Column:
         vars(index).update(sent.value)
         return pd.Series([[dict(zip(("item_id", "start_word", "end_word", "edits"), x)) for x in index.find(t)] for t in texts], dtype=object)
 
-    return matches(text)
+    return matches(text.cast("binary"))  # the words are bytes: nothing is decoded
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
