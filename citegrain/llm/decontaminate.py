@@ -136,22 +136,22 @@ class Index:
         enough = np.flatnonzero(np.maximum.accumulate(met, axis=1).mean(0) >= TARGET_RECALL)
         return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
 
-    def find(self, text: str | bytes | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, first word, word after the last, edits) of each item's best passage in the text."""
+    def windows(self, text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's word ids, and its windows that may match as columns (words, start)."""
         words = split_words(text or b"")
+        none = np.zeros((2, 0), np.int64)
         if len(words) < GRAM or not self.items:
-            return []
-        get = self.vocabulary.get
-        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            return none[0], none
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
         known = ids > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
         if not len(at):
-            return []
+            return ids, none
         gram = (ids[at] * self.base + ids[at + 1]) * self.base + ids[at + 2]
         left, right = np.searchsorted(self.grams, gram, "left"), np.searchsorted(self.grams, gram, "right")
         count = right - left
         if not count.any():
-            return []
+            return ids, none
         which = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(at, count) - self.place[which]
         # Each of k edits spoils three blocks at most and moves the others by one at most, so a match has this many near its start.
@@ -161,33 +161,46 @@ class Index:
         spread, owner, start = spread[order], owner[order], start[order]
         near = np.searchsorted(spread, spread + self.most[owner], "right") - np.searchsorted(spread, spread - self.most[owner], "left")
         enough = near >= self.sizes[owner] - GRAM + 1 - GRAM * self.most[owner]
-        if not enough.any():
-            return []
-        start, width = start[enough], self.sizes[owner[enough]]
-        starts = np.unique(np.stack([width, start]), axis=1)
-        padded_by = int(self.sizes.max())
-        padded = np.concatenate([np.zeros(padded_by, np.int64), ids, np.zeros(2 * padded_by, np.int64)])
+        return ids, np.unique(np.stack([self.sizes[owner[enough]], start[enough]]), axis=1)
+
+    def find_all(self, texts) -> list[list[tuple[int, int, int, int]]]:
+        """(item_id, first word, word after the last, edits) of each item's best passage in each text. The windows of all texts are embedded together."""
+        by_text, by_size = {}, {}
+        found: list[list[tuple[int, int, int, int]]] = []
+        for n, text in enumerate(texts):
+            found.append([])
+            ids, windows = self.windows(text)
+            if windows.shape[1]:
+                by_text[n] = ids
+                for size in np.unique(windows[0]).tolist():
+                    by_size.setdefault(size, []).append((n, windows[1][windows[0] == size]))
         candidates = set()
-        for size in np.unique(starts[0]).tolist():
-            own = starts[1][starts[0] == size]
-            for block in range(0, len(own), 50_000):
-                part = own[block : block + 50_000]
-                rows = padded[(part + padded_by)[:, None] + np.arange(size)]
+        for size, parts in by_size.items():
+            text_of = np.concatenate([np.full(len(starts), n, np.int64) for n, starts in parts])
+            start_of = np.concatenate([starts for _, starts in parts])
+            rows = np.concatenate([np.concatenate([np.zeros(size, np.int64), by_text[n], np.zeros(2 * size, np.int64)])[np.clip(starts, -size, len(by_text[n]) + size)[:, None] + size + np.arange(size)] for n, starts in parts])
+            for at in range(0, len(rows), 50_000):
                 for r in range(self.repeats):
-                    key, (keys, owners) = embed(rows, r), self.keys[size, r]
+                    key, (keys, owners) = embed(rows[at : at + 50_000], r), self.keys[size, r]
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     for i in np.flatnonzero(hi > lo).tolist():
-                        candidates.update((int(part[i]), k) for k in owners[lo[i] : hi[i]].tolist())
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for start, k in sorted(candidates):
+                        candidates.update((int(text_of[at + i]), int(start_of[at + i]), k) for k in owners[lo[i] : hi[i]].tolist())
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for n, start, k in sorted(candidates):
+            ids = by_text[n]
             item_id, item = self.items[k]
             most = allowed(len(item))
             a, b = max(0, start - 2 * most), min(len(ids), start + len(item) + 2 * most)
             edits, end = least_edits(item, ids[a:b].tolist())
-            if edits <= most and (k not in best or edits < best[k][3]):
+            if edits <= most and ((n, k) not in best or edits < best[n, k][3]):
                 _, back = least_edits(item[::-1], ids[a : a + end][::-1].tolist())
-                best[k] = (item_id, a + end - back, a + end, edits)
-        return sorted(best.values())
+                best[n, k] = (item_id, a + end - back, a + end, edits)
+        for (n, _), match in sorted(best.items()):
+            found[n].append(match)
+        return [sorted(x) for x in found]
+
+    def find(self, text: str | bytes | None) -> list[tuple[int, int, int, int]]:
+        return self.find_all([text])[0]
 
 
 def _blocks(benchmark: DataFrame):
@@ -211,7 +224,7 @@ def matches_column(spark, items: list[tuple[int, str]], text: Column) -> Column:
     def matches(texts: pd.Series) -> pd.Series:
         index = Index.__new__(Index)
         vars(index).update(sent.value)
-        return pd.Series([[dict(zip(("item_id", "start_word", "end_word", "edits"), x)) for x in index.find(t)] for t in texts], dtype=object)
+        return pd.Series([[dict(zip(("item_id", "start_word", "end_word", "edits"), x)) for x in one] for one in index.find_all(texts)], dtype=object)
 
     return matches(text.cast("binary"))  # the words are bytes: nothing is decoded
 
