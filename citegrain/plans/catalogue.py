@@ -253,7 +253,7 @@ def _relevant(spark, d):
     rows, questions = passages(spark, d), asked(spark, d)
     index = lexical.build_index(rows)
     # A token may grow where the passage's text runs on at its edges, so only tokens inside the question count.
-    inner = questions.select("qid", "question", F.array_distinct(T.tokens(F.regexp_extract("question", r"^\S*\s+(.*?)\s+\S*$", 1))).alias("terms"))
+    inner = questions.select("qid", "question", F.array_distinct(T.tokens(F.regexp_extract("question", r"(?s)^\S*\s+(.*?)\s+\S*$", 1))).alias("terms"))
     rarest = inner.select("qid", "question", F.explode("terms").alias("term")).join(index.vocabulary, "term").groupBy("qid", "question").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     found = rarest.join(index.postings.select("term", "chunk_id"), "term").join(rows.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "question"))
     return found.select("qid", "chunk_id").distinct()
@@ -297,3 +297,451 @@ def _mean(c: str) -> str:
 @query(f"WITH {ABL}, {METRICS} SELECT config, count(*) AS n_questions, {', '.join(map(_mean, ('recall_5', 'recall_10', 'precision_5', 'mrr_10', 'ndcg_10')))} FROM pq GROUP BY config")
 def ablation_scores(spark, d):
     return evaluate.aggregate(_scores(spark, d, _ablation(spark, d)))
+
+
+# ---- evidence
+
+POOL = HYB + f""", b100 AS {ranked_sql('bm', 100)}, sc AS {reranked_sql('b100')},
+pool AS (SELECT qid, chunk_id, d.source AS doc_id, score, d.text AS text, regexp_extract(d.source, '[0-9]+')::INTEGER AS no FROM sc JOIN documents AS d ON d.doc_id::VARCHAR = chunk_id)"""
+#: Which sources stand for which pool.
+POOLS = {"corpus": (0, 9), "live": (10, 12), "uploaded": (13, 14), "site": (15, 16), "textbook": (17, 18), "library": (19, 19)}
+
+
+def scored_pool(spark, d) -> DataFrame:
+    """The 100 lexically best passages of each question under the default reranker's score."""
+    rows, questions = passages(spark, d), asked(spark, d)
+    index = lexical.build_index(rows)
+    pairs = lexical.bm25(questions, index, 100).select("qid", "chunk_id").join(questions, "qid")
+    scored = fusion.overlap_reranker(pairs, index).withColumnRenamed("rerank_score", "score")
+    return scored.join(rows.select("chunk_id", "doc_id", "text"), "chunk_id").withColumn("no", F.regexp_extract("doc_id", "[0-9]+", 0).cast("int"))
+
+
+def pool_of(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("no").between(*POOLS[name])).select("qid", "chunk_id", "doc_id", "score")
+
+
+def pool_sql(name: str) -> str:
+    return f"(SELECT qid, chunk_id, doc_id, score FROM pool WHERE no BETWEEN {POOLS[name][0]} AND {POOLS[name][1]})"
+
+
+def merge_sql(reserved: str, rest: str, slots: str, per_doc: str, rest_per_doc: int, limit: int, gap: float | None, tag: str = "") -> str:
+    """CTEs that end in m{tag} (qid, chunk_id, doc_id, score, rank, reserved). slots and per_doc may use n, docs and alone (no rest) of the question."""
+    floor = f"WHERE best IS NULL OR h.score >= best - {gap}" if gap is not None else ""
+    return f"""a{tag} AS (SELECT r.*, count(*) OVER (PARTITION BY qid) AS n FROM {reserved} AS r),
+k{tag} AS (SELECT qid, count(DISTINCT doc_id) AS docs, qid NOT IN (SELECT qid FROM {rest} AS x) AS alone FROM a{tag} GROUP BY qid),
+b{tag} AS (SELECT a{tag}.*, {slots} AS slots, {per_doc} AS rpd, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM a{tag} JOIN k{tag} USING (qid)),
+e{tag} AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS dn FROM b{tag} WHERE rank <= 2 * slots),
+g{tag} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS hr FROM e{tag} WHERE dn <= rpd),
+s{tag} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {rest} AS x),
+t{tag} AS (SELECT * FROM s{tag} WHERE rank <= {limit}),
+top{tag} AS (SELECT qid, max(score) AS best FROM t{tag} GROUP BY qid),
+w{tag} AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS dn FROM t{tag}),
+z{tag} AS (SELECT h.qid, chunk_id, doc_id, h.score, 0 AS pool_no, hr AS rank FROM (SELECT * FROM g{tag} WHERE hr <= slots) AS h LEFT JOIN top{tag} ON top{tag}.qid = h.qid {floor}
+  UNION ALL SELECT qid, chunk_id, doc_id, score, 1, rank FROM w{tag} WHERE dn <= {rest_per_doc}),
+m{tag} AS (SELECT * FROM (SELECT qid, chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY pool_no, rank)::INTEGER AS rank, pool_no = 0 AS reserved FROM z{tag}) WHERE rank <= {limit})"""
+
+
+LAST = " SELECT qid, chunk_id, doc_id, score, rank, reserved FROM m"
+
+
+@query(f"""WITH {POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS o FROM pool), n AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY o) AS dn FROM r)
+SELECT qid, chunk_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o)::INTEGER AS rank FROM n WHERE dn <= 3) WHERE rank <= 8""")
+def diversify(spark, d):
+    return evidence.diversify(scored_pool(spark, d).select("qid", "chunk_id", "doc_id", "score"), C.PER_DOC, C.SERVED)
+
+
+@query(f"WITH {POOL}, {merge_sql(pool_sql('live'), pool_sql('corpus'), 'least(n, 4)', '1', 2, 8, 1.5)}" + LAST)
+def merge_live(spark, d):
+    rows = scored_pool(spark, d)
+    return evidence.merge_live(pool_of(rows, "live"), pool_of(rows, "corpus"))
+
+
+@query(f"WITH {POOL}, {merge_sql(pool_sql('site'), pool_sql('corpus'), 'least(n, 6)', '1', 2, 8, 1.5)}" + LAST)
+def merge_author(spark, d):
+    rows = scored_pool(spark, d)
+    return evidence.merge_author(pool_of(rows, "site"), pool_of(rows, "corpus"))
+
+
+@query(f"WITH {POOL}, {merge_sql(pool_sql('textbook'), pool_sql('corpus'), 'least(n, 2)', '1', 3, 8, 1.5)}" + LAST)
+def merge_textbook(spark, d):
+    rows = scored_pool(spark, d)
+    return evidence.merge_textbook(pool_of(rows, "textbook"), pool_of(rows, "corpus"))
+
+
+@query(f"WITH {POOL}, {merge_sql(pool_sql('uploaded'), pool_sql('corpus'), 'CASE WHEN alone THEN least(n, 8) ELSE least(n, 4) END', 'CASE WHEN alone THEN 8 ELSE greatest(2, ceil((CASE WHEN alone THEN least(n, 8) ELSE least(n, 4) END) / docs)) END', 2, 8, None)}" + LAST)
+def merge_uploaded(spark, d):
+    rows = scored_pool(spark, d)
+    return evidence.merge_uploaded(pool_of(rows, "uploaded"), pool_of(rows, "corpus"))
+
+
+@query(f"""WITH {POOL}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS o FROM {pool_sql('library')} AS x),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY o) AS dn FROM a),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM b WHERE dn <= 2) WHERE rank <= 8),
+z AS (SELECT qid, chunk_id, doc_id, score, 0 AS pool_no, rank FROM h UNION ALL SELECT qid, chunk_id, doc_id, score, 1, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) FROM {pool_sql('corpus')} AS x)
+SELECT * FROM (SELECT qid, chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pool_no, rank)::INTEGER AS rank, pool_no = 0 AS reserved FROM z) WHERE rank <= 8""")
+def merge_library(spark, d):
+    rows = scored_pool(spark, d)
+    return evidence.merge_library(pool_of(rows, "library"), pool_of(rows, "corpus"))
+
+
+#: Stand-ins for section kinds and for a concession: the invented texts hold no English ones.
+KIND_SQL = "CASE WHEN no % 5 = 0 THEN 'figure' ELSE 'results' END"
+HEAD_SQL = "CASE WHEN no % 3 = 1 THEN 'Limitations' ELSE 'Results' END"
+
+
+@query(f"""WITH {POOL}, kp AS (SELECT *, {KIND_SQL} AS kind, {HEAD_SQL} AS heading, count(*) FILTER ({KIND_SQL} <> 'figure') OVER (PARTITION BY qid) AS prose FROM pool),
+pr AS (SELECT *, kind <> 'figure' AND regexp_matches(heading, '(?i)limitation') AS stated FROM kp WHERE prose < 8 OR kind <> 'figure'),
+ne AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS tops FROM pr WHERE stated) WHERE score >= tops - 4.0),
+rs AS (SELECT * FROM pr WHERE (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM ne) AND qid IN (SELECT qid FROM ne)),
+{merge_sql('(SELECT qid, chunk_id, doc_id, score FROM ne)', '(SELECT qid, chunk_id, doc_id, score FROM rs)', 'least(n, 4)', '2', 2, 8, None)},
+pl AS (SELECT * FROM (SELECT qid, chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INTEGER AS rank, false AS reserved FROM pr WHERE qid NOT IN (SELECT qid FROM ne)) WHERE rank <= 8)
+SELECT qid, chunk_id, doc_id, score, rank, reserved FROM m UNION ALL SELECT * FROM pl""")
+def merge_limitations(spark, d):
+    rows = scored_pool(spark, d).withColumn("section_kind", F.expr(KIND_SQL)).withColumn("section_heading", F.expr(HEAD_SQL)).withColumn("text", F.lit(""))
+    return evidence.merge_limitations(rows.select("qid", "chunk_id", "doc_id", "score", "section_kind", "section_heading", "text"))
+
+
+@query(f"""WITH {POOL}, {merge_sql(pool_sql('live'), pool_sql('corpus'), 'least(n, 4)', '1', 2, 8, 1.5)}, lv AS (SELECT qid, chunk_id, doc_id, score, rank FROM m WHERE qid % 2 = 0),
+co AS (SELECT * FROM (SELECT qid, chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {pool_sql('corpus')} AS x) WHERE rank <= 8 AND qid % 2 = 1),
+al AS (SELECT * FROM lv UNION ALL SELECT * FROM co), cp AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS dn FROM al)
+SELECT * FROM (SELECT qid, chunk_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY rank)::INTEGER AS rank FROM cp WHERE dn <= 3) WHERE rank <= 8""")
+def evidence_for(spark, d):
+    """Questions routed by a column (here even ids ask a survey question): their pools are merged, all are capped at the end."""
+    rows = scored_pool(spark, d).withColumn("live_wanted", F.col("qid") % 2 == 0)
+    corpus, live = pool_of(rows, "corpus"), pool_of(rows.where("live_wanted"), "live")
+    wanted = evidence.merge_live(live, corpus.where("qid % 2 = 0")).drop("reserved")
+    plain = evidence.ranked(corpus.where("qid % 2 = 1")).where(F.col("rank") <= C.SERVED)
+    return evidence.diversify(wanted.unionByName(plain.select(wanted.columns)), C.PER_DOC, C.SERVED)
+
+
+@query(f"WITH {POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS o FROM pool) SELECT qid, count(DISTINCT doc_id) FILTER (score >= 0.62) AS papers FROM r WHERE o <= 20 GROUP BY qid")
+def corpus_support(spark, d):
+    return evidence.corpus_support(scored_pool(spark, d).select("qid", "chunk_id", "doc_id", "score"))
+
+
+TITLE_SQL = r"array_to_string(list_filter(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')[1:8], ' ')"
+
+
+def similar(questions: DataFrame, index, k: int = 5, gap: float = C.FLOOR_SIMILAR) -> DataFrame:
+    """Passages like a document, by its title: candidates by BM25, itself left out, those within `gap` of the best under the reranker."""
+    pairs = lexical.bm25(questions, index, 30).where(F.col("chunk_id") != F.col("qid").cast("string")).select("qid", "chunk_id").join(questions, "qid")
+    scored = fusion.overlap_reranker(pairs, index)
+    best = scored.groupBy("qid").agg(F.max("rerank_score").alias("best"))
+    near = scored.join(best, "qid").where(F.col("rerank_score") >= F.col("best") - gap)
+    return fusion.rerank(near, k).select("qid", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH ti AS (SELECT doc_id AS item_id, {TITLE_SQL} AS text FROM documents WHERE doc_id % 20 = 0), {LEX.replace('FROM benchmark', 'FROM ti')},
+tot AS (SELECT qid, sum(idf::DECIMAL(28,9)) AS total FROM qt JOIN v USING (term) GROUP BY qid),
+bx AS (SELECT * FROM {ranked_sql('bm', 30)} WHERE chunk_id <> qid::VARCHAR), rr AS {reranked_sql('bx')}, mx AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM rr),
+nx AS (SELECT qid, chunk_id, score FROM mx WHERE score >= best - 3.0) SELECT qid, chunk_id, score, rank FROM {ranked_sql('nx', 5)}""")
+def similar_documents(spark, d):
+    """Every twentieth document is asked for."""
+    rows = table(spark, d, "documents").where("doc_id % 20 = 0")
+    title = F.array_join(F.slice(F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: w != ""), 1, 8), " ")
+    return similar(rows.select(F.col("doc_id").alias("qid"), title.alias("question")), lexical.build_index(passages(spark, d)))
+
+
+# ---- questions
+
+QUESTIONS = (
+    "What are the current trends in LLMs for radiology?", "How does RAG compare with long-context models?", "What are the limitations of U-Net on KiTS23?",
+    "What is his background and what is he working on recently?", "Who built this and what is the author's expertise?", "Compare my paper with the recent literature online",
+    "Which GNN methods are used in single-cell perturbation prediction?", "Does federated learning fail on skewed data?", "the of and",
+    "Explain causal inference with a DAG and counterfactual reasoning", "What is wrong with transformer benchmarks, and how do they differ?", "AI in AI for AI radiology LLM llm VIT",
+    "Tell me about NERF point clouds and 3D vision transformers", "", "What do liver studies show versus kidney studies?",
+)
+_QV = "q(qid, question) AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(QUESTIONS)) + ") AS v(qid, question) UNION ALL SELECT 1000 + item_id, text FROM benchmark)"
+
+
+def questions(spark, d) -> DataFrame:
+    fixed = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid long, question string")
+    return fixed.unionByName(table(spark, d, "benchmark").select((F.lit(1000) + F.col("item_id")).alias("qid"), F.col("text").alias("question")))
+
+
+def terms_sql(most: int) -> str:
+    """CTEs ending in tm (qid, pos, w): the content words of q in order."""
+    return f"""ws AS (SELECT qid, regexp_extract_all(lower(question), '{Q.WORD}') AS w FROM q), wn AS (SELECT qid, unnest(w) AS w, unnest(range(len(w))) AS i FROM ws),
+wf AS (SELECT qid, w, min(i) AS i FROM wn WHERE w NOT IN ({_in(Q.SCAFFOLD)}) AND length(w) >= 2 GROUP BY qid, w), tm AS (SELECT * FROM (SELECT qid, w, row_number() OVER (PARTITION BY qid ORDER BY i) AS pos FROM wf) WHERE pos <= {most}),
+ac(short, long) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in Q.ACRONYMS.items())})"""
+
+
+@query(f"WITH {_QV}, {terms_sql(6)} SELECT q.qid, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS terms FROM q LEFT JOIN tm ON tm.qid = q.qid GROUP BY q.qid")
+def question_terms(spark, d):
+    return questions(spark, d).select("qid", F.array_join(Q.terms("question"), " ").alias("terms"))
+
+
+@query(f"WITH {_QV}, {terms_sql(6)} SELECT qid, w AS term, CASE WHEN long IS NULL THEN w ELSE w || '|' || long END AS forms FROM tm LEFT JOIN ac ON short = w")
+def acronym_expand(spark, d):
+    rows = questions(spark, d).select("qid", F.explode(Q.terms("question")).alias("term"))
+    return rows.select("qid", "term", F.array_join(Q.expand(F.col("term")), "|").alias("forms"))
+
+
+@query(f"""WITH {_QV}, {terms_sql(6)}, g AS (SELECT qid, pos, CASE WHEN long IS NULL THEN 'all:"' || w || '"' ELSE '(all:"' || w || '" OR all:"' || long || '")' END AS g FROM tm LEFT JOIN ac ON short = w)
+SELECT q.qid, coalesce(string_agg(g, ' AND ' ORDER BY pos), '') AS query FROM q LEFT JOIN g ON g.qid = q.qid GROUP BY q.qid""")
+def fielded_query(spark, d):
+    return questions(spark, d).select("qid", Q.fielded_query("question").alias("query"))
+
+
+@query(f"""WITH {_QV}, {terms_sql(5)}, g AS (SELECT qid, pos, CASE WHEN long IS NULL THEN w ELSE '(' || w || ' OR "' || long || '")' END AS g FROM tm LEFT JOIN ac ON short = w)
+SELECT q.qid, coalesce(string_agg(g, ' AND ' ORDER BY pos), '') AS query FROM q LEFT JOIN g ON g.qid = q.qid GROUP BY q.qid""")
+def boolean_query(spark, d):
+    return questions(spark, d).select("qid", Q.boolean_query("question").alias("query"))
+
+
+@query(f"""WITH {_QV}, {terms_sql(8)}, f AS (SELECT qid, 2 * pos AS o, w AS f FROM tm UNION ALL SELECT qid, 2 * pos + 1, long FROM tm JOIN ac ON short = w), u AS (SELECT qid, f, min(o) AS o FROM f GROUP BY qid, f)
+SELECT q.qid, coalesce(string_agg(f, ' ' ORDER BY o), '') AS query FROM q LEFT JOIN u ON u.qid = q.qid GROUP BY q.qid""")
+def ranked_query(spark, d):
+    return questions(spark, d).select("qid", Q.ranked_query("question").alias("query"))
+
+
+def _any(x: str, words) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(x, w.replace("'", "''")) for w in words) + ")"
+
+
+_FRAMED = "(' ' || trim(lower(question)) || ' ')"
+SHAPES_SQL = f"""qs AS (SELECT qid, question, {_any('lower(question)', Q.SURVEY)} AS survey, {_any(_FRAMED, Q.LIMITATIONS)} AS limitations, {_any(_FRAMED, Q.COMPARE)} AS compare,
+{_any(_FRAMED, Q.COMPARE)} AND {_any(_FRAMED, Q.ONLINE)} AS online, {_any(_FRAMED, Q.OWNER)} OR ({_any(_FRAMED, Q.PERSONAL)} AND {_any(_FRAMED, Q.PERSON)}) AS owner FROM q)"""
+
+
+@query(f"WITH {_QV}, {SHAPES_SQL} SELECT qid, survey, limitations, compare, online, owner FROM qs")
+def question_shapes(spark, d):
+    return questions(spark, d).select("qid", Q.asks_for_survey("question").alias("survey"), Q.asks_for_limitations("question").alias("limitations"), Q.asks_to_compare("question").alias("compare"), Q.compares_with_online("question").alias("online"), Q.asks_about_owner("question").alias("owner"))
+
+
+@query(f"WITH q AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL), {SHAPES_SQL} SELECT qid, survey AND NOT owner AS live FROM qs")
+def live_routing(spark, d):
+    """Live search joins in for survey questions that are not about the owner."""
+    rows = table(spark, d, "conversations").where("role = 'user' AND text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    return rows.select("qid", (Q.asks_for_survey("question") & ~Q.asks_about_owner("question")).alias("live"))
+
+
+@query(rf"""WITH {_QV}, a AS (SELECT qid, regexp_replace(regexp_replace(regexp_replace(question, '\b(?:the\s+)?authors?[''’]?s?\b', 'Ada Quill', 'gi'), '\b(?:his|her|their|your)\b', 'Ada Quill''s', 'gi'), '\b(?:he|she|they|you)\b', 'Ada Quill', 'gi') AS t FROM q)
+SELECT qid, trim(regexp_replace(CASE WHEN contains(lower(t), 'ada') OR contains(lower(t), 'quill') THEN t ELSE 'Ada Quill: ' || t END, '\s+', ' ', 'g')) AS resolved FROM a WHERE qid < 1000""")
+def anaphora(spark, d):
+    return questions(spark, d).where("qid < 1000").select("qid", Q.resolve_anaphora("question", "Ada Quill").alias("resolved"))
+
+
+TOPIC_SQL = "tk(topic, key, o) AS (VALUES " + ", ".join(f"('{t}', '{k}', {i})" for i, (t, ks) in enumerate(Q.TOPICS.items()) for k in ks) + ")"
+
+
+@query(f"WITH {_QV}, {TOPIC_SQL} SELECT topic, count(DISTINCT qid) AS n FROM tk LEFT JOIN q ON contains(lower(question), key) GROUP BY topic")
+def topic_support(spark, d):
+    """How many titles (here questions) each topic has; a topic without any has a row too."""
+    found = questions(spark, d).select("qid", F.explode(Q.topics_for("question")).alias("topic")).groupBy("topic").agg(F.count("*").alias("k"))
+    names = spark.createDataFrame([(t,) for t in Q.TOPICS], "topic string")
+    return names.join(found, "topic", "left").select("topic", F.coalesce("k", F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {_QV}, {TOPIC_SQL}, c AS (SELECT topic, count(DISTINCT qid) AS n FROM tk LEFT JOIN q ON contains(lower(question), key) GROUP BY topic),
+b AS (SELECT q.qid, coalesce(max(n), 0) AS best FROM q LEFT JOIN tk ON contains(lower(question), key) LEFT JOIN c ON c.topic = tk.topic GROUP BY q.qid)
+SELECT qid, best, CASE WHEN best = 0 THEN 'beyond_corpus' WHEN best < 4 THEN 'thin' ELSE 'partial' END AS coverage, CASE WHEN best = 0 THEN 'refuse' ELSE 'scoped' END AS expect FROM b""")
+def coverage_labels(spark, d):
+    rows = questions(spark, d)
+    counts = topic_support(spark, d)
+    best = rows.select("qid", F.explode_outer(Q.topics_for("question")).alias("topic")).join(F.broadcast(counts), "topic", "left").groupBy("qid").agg(F.coalesce(F.max("n"), F.lit(0)).alias("best"))
+    what, expect = Q.coverage(F.col("best"))
+    return best.select("qid", "best", what.alias("coverage"), expect.alias("expect"))
+
+
+@query("""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source AS doc_id FROM documents)), b AS (SELECT unnest(range(1, 81)) AS k)
+SELECT k::INTEGER AS number, CASE WHEN k <= 30 THEN 'single' WHEN k <= 40 THEN 'pair' WHEN k <= 50 THEN 'corpus' ELSE 'verify' END AS shape,
+  CASE WHEN k BETWEEN 41 AND 50 THEN '' ELSE a.doc_id END AS first, CASE WHEN k BETWEEN 31 AND 40 THEN c.doc_id ELSE '' END AS second
+FROM b JOIN t AS a ON a.i = (k - 1) % a.n JOIN t AS c ON c.i = k % c.n""")
+def benchmark_binding(spark, d):
+    """Numbered questions bound to papers by their remainder: pairs to two, questions about the corpus to none."""
+    papers = table(spark, d, "documents").select("source").distinct()
+    # One row holds the list of papers: the binding is of a benchmark to a collection of papers, whose list is a parameter.
+    listed = papers.agg(F.sort_array(F.collect_list("source")).alias("papers"))
+    numbers = spark.range(1, 81).select(F.col("id").cast("int").alias("number")).withColumn("shape", Q.shape_of("number")).crossJoin(F.broadcast(listed))
+    at = lambda k: F.get("papers", F.pmod(k, F.size("papers")))
+    return numbers.select("number", "shape", F.when(F.col("shape") == "corpus", "").otherwise(at(F.col("number") - 1)).alias("first"), F.when(F.col("shape") == "pair", at(F.col("number"))).otherwise("").alias("second"))
+
+
+# ---- live sources, context, citations, conversations
+
+
+@query("""WITH p AS (SELECT lang AS qid, source, doc_id AS pos, left(text, 12) AS title FROM documents WHERE source IN ('src1', 'src2', 'src3')),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY pos) AS turn, list_position(['src1', 'src2', 'src3'], source) AS so, left(regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g'), 80) AS key FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY turn, so) AS n FROM t) SELECT qid, source, pos, row_number() OVER (PARTITION BY qid ORDER BY turn, so)::INTEGER AS rank FROM f WHERE n = 1""".replace("\\\\", "\\"))
+def interleave_sources(spark, d):
+    rows = table(spark, d, "documents").where("source IN ('src1', 'src2', 'src3')").select(F.col("lang").alias("qid"), "source", F.col("doc_id").alias("pos"), F.substring("text", 1, 12).alias("title"))
+    return evidence.interleave(rows, ("src1", "src2", "src3")).select("qid", "source", "pos", "rank")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS abstract FROM documents WHERE source = 'src4'")
+def inverted_abstract(spark, d):
+    """An abstract stored as word positions and put together again is the squeezed text."""
+    rows = table(spark, d, "documents").where("source = 'src4'")
+    return readers.invert_abstracts(rows).select("doc_id", readers.reconstruct_abstract(F.col("inverted")).alias("abstract"))
+
+
+CTX = f"""{LEX}, k AS {ranked_sql('bm', 8)}, ev AS (SELECT qid, rank, chunk_id, source AS doc_title, text, '[' || rank || '] (passage) ' || source || ' — ' || lang || ', p1' || chr(10) || text || chr(10) AS block FROM k JOIN documents ON doc_id::VARCHAR = chunk_id),
+us AS (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS used, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM ev),
+cx AS (SELECT qid, string_agg(block, chr(10) ORDER BY rank) AS context, count(*) AS n_passages FROM us WHERE n = 1 OR used <= 9000 GROUP BY qid)"""
+
+
+def _evidence(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_title"), F.col("lang").alias("section_heading"), F.lit("p1").alias("page_ref"), "text")
+    hits = lexical.bm25(asked(spark, d), lexical.build_index(passages(spark, d)), C.SERVED)
+    return hits.select("qid", "rank", "chunk_id").join(rows, "chunk_id")
+
+
+@query(f"WITH {CTX} SELECT qid, context, n_passages FROM cx")
+def context_pack(spark, d):
+    return grounding.pack_context(_evidence(spark, d))
+
+
+ANSWERS = (
+    "First [2]. Second [9]. Third [3].", "Mixed [2; 4] and single [1].", "See [1, 2, 3, 4, 5, 6, 7].", "Partly [2, 99] so .", "All invented [88, 99].", "The passages do not contain this.",
+    "No marker at all.", "Twice [3] and [3] and [ 1 , 3 ].", "", "  spaced   out [7] ;",
+)
+RESOLVE = "an(qid, raw) AS (VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(ANSWERS)) + r"""),
+pc AS (SELECT qid, raw, string_split_regex(raw, '\[\s*\d{1,2}(?:\s*[,;]\s*\d{1,2})*\s*\]') AS pieces, regexp_extract_all(raw, '\[\s*\d{1,2}(?:\s*[,;]\s*\d{1,2})*\s*\]') AS marks FROM an),
+mk AS (SELECT qid, unnest(marks) AS m, unnest(range(1, len(marks) + 1)) AS mi FROM pc),
+nu AS (SELECT qid, mi, unnest(list_transform(regexp_extract_all(m, '\d{1,2}'), lambda x: x::INTEGER)) AS n, unnest(range(len(regexp_extract_all(m, '\d{1,2}')))) AS ni FROM mk),
+fo AS (SELECT qid, n, row_number() OVER (PARTITION BY qid ORDER BY o) AS k FROM (SELECT qid, n, min(mi * 100 + ni) AS o FROM nu WHERE n BETWEEN 1 AND 8 GROUP BY qid, n)),
+rw AS (SELECT nu.qid, mi, string_agg('[' || k || ']', '' ORDER BY ni) AS r FROM nu JOIN fo ON fo.qid = nu.qid AND fo.n = nu.n GROUP BY nu.qid, mi),
+pi AS (SELECT qid, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS pi FROM pc),
+jo AS (SELECT pi.qid, string_agg(piece || coalesce(r, ''), '' ORDER BY pi.pi) AS t FROM pi LEFT JOIN rw ON rw.qid = pi.qid AND rw.mi = pi.pi GROUP BY pi.qid),
+tx AS (SELECT an.qid, regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '\s+([.,;:])', '\1', 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM an LEFT JOIN jo ON jo.qid = an.qid),
+cc AS (SELECT qid, string_agg(n::VARCHAR, ',' ORDER BY k) AS cited, count(*) AS n_cited FROM fo GROUP BY qid)"""
+GROUNDED = "(n_cited IS NOT NULL OR " + " OR ".join(f"contains(lower(text), '{p}')" for p in grounding.REFUSALS) + ")"
+
+
+def _answers(spark):
+    answers = spark.createDataFrame(list(enumerate(ANSWERS)), "qid long, raw string")
+    passages_ = spark.range(len(ANSWERS)).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank")).select("qid", "rank", F.concat(F.lit("c"), "rank").alias("chunk_id"), F.concat(F.lit("d"), "rank").alias("doc_id"), F.lit("passage text").alias("text"))
+    return grounding.resolve(answers, passages_)
+
+
+@query(f"WITH {RESOLVE} SELECT tx.qid::BIGINT AS qid, text, coalesce(cited, '') AS cited FROM tx LEFT JOIN cc ON cc.qid = tx.qid")
+def citation_resolve(spark, d):
+    return _answers(spark)[0].select("qid", "text", F.array_join(F.transform("cited", lambda n: n.cast("string")), ",").alias("cited"))
+
+
+@query(f"WITH {RESOLVE} SELECT tx.qid::BIGINT AS qid, CASE WHEN {GROUNDED} THEN text ELSE '{grounding.NO_EVIDENCE}' END AS shown, {GROUNDED} AS grounded FROM tx LEFT JOIN cc ON cc.qid = tx.qid")
+def grounded_answers(spark, d):
+    rows = _answers(spark)[0]
+    return rows.select("qid", F.when(F.col("grounded"), F.col("text")).otherwise(grounding.NO_EVIDENCE).alias("shown"), "grounded")
+
+
+PAIRS = """sp AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pp AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS n, text AS question, answer FROM sp WHERE role = 'user' AND nr = 'assistant')"""
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, turn, n, question, answer FROM pp WHERE n <= 1")
+def conversation_pairs(spark, d):
+    return grounding.conversation_pairs(table(spark, d, "conversations"))
+
+
+@query(f"WITH {PAIRS} SELECT conv_id, 'Earlier in this conversation:' || chr(10) || 'Q: ' || question || chr(10) || 'A: ' || left(answer, 400) AS history FROM pp WHERE n = 1")
+def history_prompt(spark, d):
+    rows = grounding.conversation_pairs(table(spark, d, "conversations"))
+    return rows.select("conv_id", F.concat(F.lit("Earlier in this conversation:\nQ: "), "question", F.lit("\nA: "), F.substring("answer", 1, C.HISTORY_CHARS)).alias("history"))
+
+
+# ---- evaluation, statistics, listings
+
+OUT = f"""{LEX}, hits AS {ranked_sql('bm', 8)}, rel AS (SELECT DISTINCT item_id AS qid FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text)),
+g AS (SELECT qid, max(score) AS s FROM hits GROUP BY qid),
+oc AS (SELECT item_id AS qid, CASE WHEN item_id % 10 = 0 THEN 'scoped' WHEN rel.qid IS NOT NULL THEN 'answer' ELSE 'refuse' END AS expect, CASE WHEN coalesce(s, 0) >= 100 THEN 'answer' ELSE 'refuse' END AS got
+  FROM benchmark LEFT JOIN rel ON rel.qid = item_id LEFT JOIN g ON g.qid = item_id),
+ok AS (SELECT *, expect = 'scoped' OR expect = got AS correct FROM oc)"""
+
+
+def _outcomes(spark, d):
+    """A question is answered if its best passage scores 100; it should be if a document holds it."""
+    rows = asked(spark, d)
+    best = lexical.bm25(rows, lexical.build_index(passages(spark, d)), C.SERVED).groupBy("qid").agg(F.max("score").alias("s"))
+    answers = best.select("qid", (F.col("s") >= 100).cast("int").alias("n_citations"))
+    held = _relevant(spark, d).select("qid").distinct().withColumn("held", F.lit(True))
+    expected = rows.select("qid").join(held, "qid", "left").select("qid", F.when(F.col("qid") % 10 == 0, "scoped").when(F.col("held"), "answer").otherwise("refuse").alias("expect"))
+    return evaluate.refusal_outcomes(expected, answers)
+
+
+@query(f"WITH {OUT} SELECT qid, expect, got, correct FROM ok")
+def refusal_outcomes(spark, d):
+    return _outcomes(spark, d)
+
+
+@query(f"WITH {OUT} SELECT coalesce(expect, 'all') AS expect, count(*) AS n, (count(*) FILTER (correct)) AS n_correct, round(100 * (count(*) FILTER (correct)) / count(*)::DOUBLE, 6) AS percent FROM ok GROUP BY ROLLUP (expect)")
+def refusal_report(spark, d):
+    return evaluate.refusal_report(_outcomes(spark, d))
+
+
+@query("""SELECT a.*, b.* FROM (SELECT count(*) AS n_chunks, min(length(text))::INTEGER AS least, quantile_cont(length(text), 0.5)::DOUBLE AS p50, quantile_cont(length(text), 0.95)::DOUBLE AS p95, max(length(text))::INTEGER AS most, round(avg(length(text)), 6) AS mean FROM documents) AS a,
+(SELECT count(*) AS n_docs, min(k) AS docs_least, quantile_cont(k, 0.5)::DOUBLE AS docs_p50, max(k) AS docs_most FROM (SELECT source, count(*) AS k FROM documents GROUP BY source)) AS b""")
+def corpus_stats(spark, d):
+    return evaluate.corpus_statistics(passages(spark, d))
+
+
+_DENSE = r"(len(regexp_extract_all(text, '(?i)\[\d{1,3}\]|arXiv preprint|doi:\s*10\.')) + len(regexp_extract_all(text, '\b[A-Z]\.\s?[A-Z]?\.?\s+[A-Z][a-z]+'))) / greatest(length(text) / 100, 1.0) > 2.5"
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), s AS (SELECT count(*) FILTER (length(text) < 80) AS short, count(*) FILTER (text = '') AS no_text, count(*) FILTER ({_DENSE}) AS bibliography,
+count(*) FILTER (source IS NULL) AS no_document, count(*) FILTER (length(coalesce(source, '')) < 15) AS no_title, count(doc_id) - count(DISTINCT doc_id) AS repeated_id FROM t)
+SELECT unnest(['short', 'no_text', 'bibliography', 'no_document', 'no_title', 'repeated_id']) AS "check", unnest([short, no_text, bibliography, no_document, no_title, repeated_id]) AS n FROM s""")
+def integrity_checks(spark, d):
+    rows = passages(spark, d).withColumn("doc_title", F.col("doc_id"))
+    return evaluate.violations(rows, T.bibliography_density("text"))
+
+
+@query("SELECT d.source AS doc_id, count(*) AS passages, count(l.doc_id) AS labelled, max(length(text))::INTEGER AS longest FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) AS l ON l.doc_id = d.doc_id GROUP BY d.source")
+def library_listing(spark, d):
+    marked = table(spark, d, "labels").select("doc_id").distinct().withColumn("marked", F.lit(1))
+    rows = table(spark, d, "documents").join(marked, "doc_id", "left")
+    return rows.groupBy(F.col("source").alias("doc_id")).agg(F.count("*").alias("passages"), F.count("marked").alias("labelled"), F.max(F.length("text")).alias("longest"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS labelled, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled FROM documents GROUP BY lang")
+def label_coverage(spark, d):
+    rows, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id")
+    with_, without = rows.join(labels, "doc_id", "left_semi"), rows.join(labels, "doc_id", "left_anti")
+    both = with_.withColumn("k", F.lit(1)).unionByName(without.withColumn("k", F.lit(0)))
+    return both.groupBy("lang").agg(F.count("*").alias("n"), F.sum("k").alias("labelled"), F.sum(1 - F.col("k")).alias("unlabelled"))
+
+
+# ---- sessions and streams
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def session_ttl(spark, d):
+    return streams.sessions(table(spark, d, "events"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), t AS (SELECT user_id, max(ts) AS touched FROM events GROUP BY user_id),
+r AS (SELECT user_id, touched, row_number() OVER (ORDER BY touched DESC, user_id)::INTEGER AS place FROM t, n WHERE epoch(now)::BIGINT - epoch(touched)::BIGINT <= 86400 * 30) SELECT user_id, touched, place FROM r WHERE place <= 40""")
+def session_lru(spark, d):
+    """Sessions at the time of the last event; the limit here is thirty days, for the events are sparse."""
+    events = table(spark, d, "events")
+    now = events.agg(F.max("ts").alias("now")).first()["now"]
+    return streams.live_sessions(events, now, idle=86400 * 30)
+
+
+@query("""WITH r AS (SELECT event_id, user_id % 5 AS user_id, ts FROM events),
+c AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS k FROM c WHERE n <= 2)
+SELECT event_id, user_id, ts, (CASE WHEN k <= 60 THEN 200 ELSE 503 END)::INTEGER AS status FROM p UNION ALL SELECT event_id, user_id, ts, 429 FROM c WHERE n > 2""")
+def rate_limit(spark, d):
+    """Five callers share the events; limits of two an hour and sixty a day bind on them."""
+    rows = table(spark, d, "events").select("event_id", (F.col("user_id") % 5).alias("user_id"), "ts")
+    return streams.rate_limit(rows, 2, 60)
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM (SELECT user_id % 5 AS user_id, ts FROM events) GROUP BY 1, 2")
+def stream_rate_limit(spark, d):
+    rows = streams.read_stream(spark, d, "events").select((F.col("user_id") % 5).alias("user_id"), "ts")
+    return streams.drain(streams.stream_rate_counts(rows, 2), ["user_id", "hour"], "update")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark, d):
+    return streams.drain(streams.stream_distinct(streams.read_stream(spark, d, "events"), ["user_id", "event_type"]), [], "append")
+
+
+@query(f"WITH {LEX} SELECT term, df FROM v")
+def stream_incremental_stats(spark, d):
+    """Document frequencies from the rows of the table's file as they come in."""
+    rows = streams.read_stream(spark, d, "documents").select("text")
+    return streams.drain(streams.stream_document_frequencies(rows), ["term"], "update")

@@ -103,10 +103,12 @@ def padded_date(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.coalesce(F.nullif(year, F.lit("")), F.lit("????")), number(F.coalesce(month, F.lit(""))), number(F.coalesce(day, F.lit(""))))
 
 
-def invert_abstract(text: Column) -> Column:
-    """Word to positions, as an index of abstracts stores them."""
-    words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == w))))
+def invert_abstracts(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, inverted): a map from each word to its positions, as an index of abstracts stores them."""
+    words = rows.select(key, F.posexplode(F.filter(F.split(squeeze(text), " "), lambda w: w != "")).alias("p", "w"))
+    places = words.groupBy(key, "w").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    maps = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    return rows.select(key).join(maps, key, "left")
 
 
 def reconstruct_abstract(inverted: Column) -> Column:
