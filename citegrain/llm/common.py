@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,12 @@ def settle(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citegrain-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # The shuffle files of the lineage that ends here go when the driver's JVM finds them unreachable, which it may not look for in a long while.
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def partitions(df: DataFrame) -> int:

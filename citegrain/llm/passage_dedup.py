@@ -7,7 +7,7 @@ a sweep with a Fenwick tree over the holder's places: a seed adds its words, a g
 and aligned by word edits between their seeds; what has LEAST_WORDS words and LEAST_IDENTITY is a repeated passage.
 
 A null or empty text has no passage. Rows with a null doc_id are left out of the search (nothing can be named as its source). Rows that repeat a doc_id are
-one document, of the longest of its texts. Empty tables give no row. Extra columns are not read. Very long texts are searched whole.
+one document, of the longest of its texts (of several, the greatest). Empty tables give no row. Extra columns are not read. Very long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import clean_text, partitions
+from citegrain.llm.common import clean_text, partitions, settle
 from citegrain.llm.suffix_dedup import CHUNK_BYTES, MOST_CHUNKS, _chunk, _pack5, _shared, _short
 
 SEED, WINDOW, GAP = 5, 10, 0.1
@@ -88,16 +88,38 @@ def _seed_sets(shares: int):
     return run
 
 
-SHARED = "doc_id long, places binary, hashes binary, words binary"
+SHARED = "doc_id long, places binary, hashes binary, runs binary, words binary"
+#: Words kept on either side of a shared seed, for what joins the seeds and for the extension of a chain.
+AROUND = 2 * LEAST_WORDS
+
+
+def keep_around(words: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes]:
+    """The words near shared seeds, as runs (start, length) and the runs' words one after another."""
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] - places[:-1] > 2 * AROUND + SEED
+    first = np.flatnonzero(new)
+    starts = np.maximum(places[first] - AROUND, 0)
+    stops = np.minimum(places[np.append(first[1:], len(places)) - 1] + SEED + AROUND, len(words))
+    kept = np.concatenate([words[a:b] for a, b in zip(starts.tolist(), stops.tolist())])
+    return np.stack([starts, stops - starts]).astype("<i4").tobytes(), (kept & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def laid_out(runs: bytes, words: bytes, missing: int) -> np.ndarray:
+    """The words at their places; `missing` stands for those that were not kept."""
+    starts, sizes = np.frombuffer(runs, "<i4").reshape(2, -1).astype(np.int64)
+    out = np.full(int(starts[-1] + sizes[-1]), missing, np.uint32)
+    out[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.frombuffer(words, "<u4")
+    return out
 
 
 def _shared_seeds(shares: int):
-    """Each document that shares seeds with another: its shared seeds' places and hashes, and its words' 32-bit hashes."""
+    """Each document that shares seeds with another: its shared seeds' places and hashes, and the 32-bit hashes of the words around them."""
 
     def run(frame: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "places", "hashes", "words"]
+        columns = ["doc_id", "places", "hashes", "runs", "words"]
         if not len(frame):
             return pd.DataFrame(columns=columns)
+        frame = frame.assign(n=frame["text"].str.len()).sort_values(["doc_id", "n", "text"], kind="stable").drop_duplicates("doc_id", keep="last")
         known: dict = {}
         words = [word_hashes(t, known) for t in frame["text"]]
         found = [seeds(w) for w in words]
@@ -123,7 +145,7 @@ def _shared_seeds(shares: int):
             hit = shared[at : at + len(own)]
             at += len(own)
             if hit.sum() >= LEAST_SEEDS:
-                rows.append((int(frame["doc_id"].iloc[k]), places[hit].astype("<i4").tobytes(), own[hit].astype("<u8").tobytes(), (words[k] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
+                rows.append((int(frame["doc_id"].iloc[k]), places[hit].astype("<i4").tobytes(), own[hit].astype("<u8").tobytes(), *keep_around(words[k], places[hit])))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -196,15 +218,16 @@ CHAINED = "doc_id long, source_id long, xs array<int>, ys array<int>, words bina
 def _chain(batches):
     for batch in batches:
         rows = []
-        for doc_id, matches, words in zip(batch["doc_id"], batch["matches"], batch["words"]):
+        for doc_id, matches, runs, words in zip(batch["doc_id"], batch["matches"], batch["runs"], batch["words"]):
+            whole = laid_out(runs, words, 0)
             by_source: dict[int, list[tuple[int, int]]] = {}
             for m in matches:
                 by_source.setdefault(m["source_id"], []).append((m["place"], m["source_place"]))
             for source, pairs in by_source.items():
                 x, y = [a for a, _ in pairs], [b for _, b in pairs]
                 for chain in chains(x, y):
-                    a, b = max(0, x[chain[0]] - 2 * LEAST_WORDS), x[chain[-1]] + SEED + 2 * LEAST_WORDS  # with room to extend
-                    rows.append((doc_id, source, [x[i] for i in chain], [y[i] for i in chain], words[4 * a : 4 * b], a))
+                    a, b = max(0, x[chain[0]] - AROUND), x[chain[-1]] + SEED + AROUND  # with room to extend
+                    rows.append((doc_id, source, [x[i] for i in chain], [y[i] for i in chain], whole[a:b].tobytes(), a))
         yield pd.DataFrame(rows, columns=["doc_id", "source_id", "xs", "ys", "words", "at"])
 
 
@@ -243,8 +266,8 @@ PASSAGE = "doc_id long, start_word int, end_word int, source_doc_id long, source
 def _align(batches):
     for batch in batches:
         rows = []
-        for doc_id, source, xs, ys, words, at, theirs in zip(batch["doc_id"], batch["source_id"], batch["xs"], batch["ys"], batch["words"], batch["at"], batch["source_words"]):
-            mine, theirs = np.frombuffer(words, "<u4"), np.frombuffer(theirs, "<u4")
+        for doc_id, source, xs, ys, words, at, theirs in zip(batch["doc_id"], batch["source_id"], batch["xs"], batch["ys"], batch["words"], batch["at"], batch["source"]):
+            mine, theirs = np.frombuffer(words, "<u4"), laid_out(theirs["runs"], theirs["words"], 1)
             xs = [int(v) - at for v in xs]
             wrong, x, y = 0, xs[0] + SEED, int(ys[0]) + SEED
             for u, v in zip(xs[1:], ys[1:]):
@@ -274,14 +297,12 @@ def find_passages(documents: DataFrame) -> DataFrame:
     by_chunk = rows.withColumn("chunk", _chunk(bounds)(F.col("doc_id"))).repartition(ways, "chunk").groupBy("chunk")
     shared = by_chunk.applyInPandas(_seed_sets(ways), "share int, chunk int, anchors binary").groupBy("share").applyInPandas(_shared, "chunk int, share int, bits binary")
     holders = by_chunk.cogroup(shared.groupBy("chunk")).applyInPandas(_shared_seeds(ways), SHARED)
-    from citegrain.llm.common import settle
-
-    holders = settle(holders.groupBy("doc_id").agg(F.max_by(F.struct("places", "hashes", "words"), F.octet_length("words")).alias("x")).select("doc_id", "x.*"))
+    holders = settle(holders)
     seen = holders.select("doc_id", "places", "hashes").mapInPandas(_occurrences, "seed long, nth int, asks boolean, doc_id long, place int")
     firsts = seen.where("not asks").groupBy("seed", "nth").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed", "nth", F.col("first.doc_id").alias("source_id"), F.col("first.place").alias("source_place"))
     matched = seen.join(firsts, ["seed", "nth"]).where("doc_id != source_id")
     # A pair of documents needs a few seeds; a document's matches are at most its own seeds.
     by_doc = matched.groupBy("doc_id").agg(F.collect_list(F.struct("source_id", "place", "source_place")).alias("matches"))
-    chained = by_doc.join(holders.select("doc_id", "words"), "doc_id").mapInPandas(_chain, CHAINED)
-    sources = holders.select(F.col("doc_id").alias("source_id"), F.col("words").alias("source_words"))
-    return chained.join(sources, "source_id").select("doc_id", "source_id", "xs", "ys", "words", "at", "source_words").mapInPandas(_align, PASSAGE)
+    chained = by_doc.join(holders.select("doc_id", "runs", "words"), "doc_id").mapInPandas(_chain, CHAINED)
+    sources = holders.select(F.col("doc_id").alias("source_id"), F.struct("runs", "words").alias("source"))
+    return chained.join(sources, "source_id").select("doc_id", "source_id", "xs", "ys", "words", "at", "source").mapInPandas(_align, PASSAGE)
