@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citegrain import schemas as C
 from citegrain.functions import question as Q
 from citegrain.functions import text as T
-from citegrain.operators import chunking, dense, evaluate, evidence, fusion, grounding, lexical
+from citegrain.operators import chunking, dense, evaluate, evidence, fusion, grounding, layout, lexical
 from citegrain.plans import pipeline
 from citegrain.sources import readers
 from citegrain.streaming import streams
@@ -745,3 +745,131 @@ def stream_incremental_stats(spark, d):
     """Document frequencies from the rows of the table's file as they come in."""
     rows = streams.read_stream(spark, d, "documents").select("text")
     return streams.drain(streams.stream_document_frequencies(rows), ["term"], "update")
+
+
+# ---- page geometry, on fixed pages
+
+#: Lines of a small paper: page, text, size, bold.
+PAPER = (
+    (1, "Alexandria Engineering Journal", 14.0, False), (1, "Segmenting kidneys with few labels in", 13.4, False), (1, "tomography volumes", 13.4, False), (1, "Ada Quill, Bo Reed and Cy Stone", 10.0, False),
+    (1, "Abstract", 10.0, True), (1, "We segment kidneys in tomography volumes with few labels and report the expres-", 9.0, False), (1, "sion of uncertainty. A single-", 9.0, False), (1, "cell baseline is weaker than single-cell models.", 9.0, False),
+    (2, "1 Introduction", 12.0, True), (2, "Kidney segmentation needs labels that hospitals seldom have; expression of doubt helps.", 9.0, False), (2, "1.1 Data", 10.5, True), (2, "Volumes come from four hospitals and are split by patient, never by slice.", 9.0, False),
+    (2, "2 Methods", 12.0, True), (2, "Our network has an encoder and a decoder with skip connections between them.", 9.0, False), (2, "Training details", 10.5, True), (2, "We train with AdamW for a hundred epochs on one device.", 9.0, False),
+    (2, "Table 2 Dice by organ and by model", 9.0, True), (2, "kidney 0.94 0.95 0.91 liver 0.96 0.97 0.95 spleen 0.92", 9.0, False), (3, "References", 12.0, True), (3, "A. B. Smith. Segmenting organs. Journal of Imaging, 2019, pages 1-10.", 9.0, False),
+)
+
+
+def paper_lines(spark) -> DataFrame:
+    rows = [("p", i, page, text, size, size, bold) for i, (page, text, size, bold) in enumerate(PAPER)]
+    return spark.createDataFrame(rows, "doc_id string, line_no long, page int, text string, size double, display_size double, bold boolean")
+
+
+def two_column_words(spark) -> DataFrame:
+    """Twelve rows of four words in each of two columns under a full-width line, on a page of 600 points; and a page of one column."""
+    rows = []
+    for r in range(12):
+        for side, left in ((0, 40.0), (1, 330.0)):
+            for w in range(4):
+                x = left + 58 * w
+                rows.append((1, f"{'LR'[side]}{r}.{w}", x, x + 50, 100.0 + 14 * r, 110.0 + 14 * r, 9.0))
+    rows += [(1, f"T{w}", 40.0 + 65 * w, 100.0 + 65 * w, 60.0, 72.0, 14.0) for w in range(8)]
+    rows += [(2, f"S{r}.{w}", 40.0 + 58 * w, 92.0 + 58 * w, 100.0 + 14 * r, 110.0 + 14 * r, 9.0) for r in range(20) for w in range(9)]
+    return spark.createDataFrame([("p", *r, "Serif", True, 600.0) for r in rows], "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string, upright boolean, page_width double")
+
+
+WORDS_SQL = """wd AS (SELECT 1 AS page, CASE WHEN s = 0 THEN 'L' ELSE 'R' END || r || '.' || w AS text, CASE WHEN s = 0 THEN 40e0 ELSE 330e0 END + 58 * w AS x0, CASE WHEN s = 0 THEN 40e0 ELSE 330e0 END + 58 * w + 50 AS x1, 100e0 + 14 * r AS top, 110e0 + 14 * r AS bottom FROM range(12) AS a(r), range(2) AS b(s), range(4) AS c(w)
+UNION ALL SELECT 1, 'T' || w, 40e0 + 65 * w, 100e0 + 65 * w, 60e0, 72e0 FROM range(8) AS c(w) UNION ALL SELECT 2, 'S' || r || '.' || w, 40e0 + 58 * w, 92e0 + 58 * w, 100e0 + 14 * r, 110e0 + 14 * r FROM range(20) AS a(r), range(9) AS c(w))"""
+
+
+@query(f"""WITH {WORDS_SQL}, cv AS (SELECT page, unnest(range(least(greatest(floor(x0 * 80 / 600)::INTEGER, 0), 79), greatest(least(greatest(floor(x0 * 80 / 600)::INTEGER, 0), 79), least(greatest(floor(x1 * 80 / 600)::INTEGER, 0), 79)) + 1)) AS bin FROM wd),
+cn AS (SELECT page, bin, count(*) AS n FROM cv GROUP BY page, bin), sp AS (SELECT p.page, b.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT page FROM wd) AS p, range(80) AS b(bin) LEFT JOIN cn ON cn.page = p.page AND cn.bin = b.bin),
+pk AS (SELECT page, max(n) AS peak, min(n) FILTER (bin BETWEEN 25 AND 53) AS low FROM sp GROUP BY page), lo AS (SELECT sp.page, min(bin) AS bin FROM sp JOIN pk ON pk.page = sp.page AND sp.n = pk.low WHERE bin BETWEEN 25 AND 53 GROUP BY sp.page),
+sl AS (SELECT pk.page, CASE WHEN low <= 0.4e0 * peak THEN (bin + 0.5e0) * 600 / 80 END AS s FROM pk JOIN lo ON lo.page = pk.page),
+sd AS (SELECT wd.page, s, count(*) AS n, count(*) FILTER (x1 <= s) AS l, count(*) FILTER (x0 >= s) AS r FROM wd JOIN sl ON sl.page = wd.page GROUP BY wd.page, s) SELECT page, CASE WHEN l >= 0.15e0 * n AND r >= 0.15e0 * n THEN s END AS split FROM sd""")
+def column_split(spark, d):
+    return layout.column_split(two_column_words(spark)).select("page", "split")
+
+
+LINES_SQL = f"{WORDS_SQL}, bo AS (SELECT *, CASE WHEN bottom - lag(bottom) OVER (PARTITION BY page ORDER BY bottom, x0) > 2.0 THEN 1 ELSE 0 END AS o FROM wd), bl AS (SELECT *, sum(o) OVER (PARTITION BY page ORDER BY bottom, x0)::BIGINT AS line FROM bo)"
+
+
+@query(f"WITH {LINES_SQL} SELECT page, text, line FROM bl")
+def baseline_lines(spark, d):
+    return layout.baselines(layout.drop_markers(two_column_words(spark))).select("page", "text", "line")
+
+
+@query(f"""WITH {LINES_SQL}, gp AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, line ORDER BY x0) > 18.0 THEN 1 ELSE 0 END AS g FROM bl), gt AS (SELECT *, sum(g) OVER (PARTITION BY page, line ORDER BY x0) AS part FROM gp),
+fr AS (SELECT page, line, part, string_agg(text, ' ' ORDER BY x0) AS text, min(x0) AS x0, max(x1) AS x1, min(top) AS top FROM gt GROUP BY page, line, part),
+si AS (SELECT *, CASE WHEN page = 2 THEN 0 WHEN x1 <= 281.25 THEN 0 WHEN x0 >= 281.25 THEN 1 ELSE 2 END AS side FROM fr),
+bd AS (SELECT *, sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY top, x0) - CASE WHEN side = 2 THEN 1 ELSE 0 END AS band FROM si)
+SELECT page, text, row_number() OVER (PARTITION BY page ORDER BY band, side, top, x0)::INTEGER AS position FROM bd""")
+def reading_order(spark, d):
+    words = layout.gutters(layout.baselines(layout.drop_markers(two_column_words(spark))))
+    fragments = layout.lines(words).join(layout.column_split(two_column_words(spark)), ["doc_id", "page"])
+    return layout.reading_order(fragments).select("page", "text", "position")
+
+
+LINE_SQL = "ln(line_no, page, text, size, bold) AS (VALUES " + ", ".join("({}, {}, '{}', {}::DOUBLE, {})".format(i, p, t.replace("'", "''"), s, b) for i, (p, t, s, b) in enumerate(PAPER)) + ")"
+
+
+@query(f"WITH {LINE_SQL} SELECT line_no::BIGINT AS line_no, dense_rank() OVER (ORDER BY round_even(size * 2, 0) / 2 DESC)::INTEGER AS level FROM ln WHERE bold AND page > 1 AND line_no <> 16")
+def heading_levels(spark, d):
+    rows = paper_lines(spark).where("bold AND page > 1 AND line_no <> 16")
+    return layout.heading_levels(rows).select("line_no", "level")
+
+
+@query(f"""WITH {LINE_SQL}, h AS (SELECT line_no, dense_rank() OVER (ORDER BY round_even(size * 2, 0) / 2 DESC) AS level, lower(trim(regexp_replace(text, '^\\s*(\\d+(\\.\\d+)*)\\s+', ''))) AS t FROM ln WHERE bold AND page > 1 AND line_no <> 16),
+n AS (SELECT *, CASE t WHEN 'introduction' THEN 'introduction' WHEN 'methods' THEN 'methods' WHEN 'references' THEN 'references' ELSE 'other' END AS named FROM h)
+SELECT a.line_no::BIGINT AS line_no, CASE WHEN a.named <> 'other' THEN a.named ELSE coalesce((SELECT arg_max(b.named, b.line_no) FROM n AS b WHERE b.line_no < a.line_no AND b.level < a.level), 'other') END AS kind FROM n AS a""")
+def kind_inheritance(spark, d):
+    rows = paper_lines(spark).where("bold AND page > 1 AND line_no <> 16")
+    named = layout.heading_levels(rows).withColumn("named", layout.classify(F.col("text")))
+    return layout.inherit_kinds(named).select("line_no", "kind")
+
+
+BROKEN = ("expres- sion of genes", "a single- cell atlas", "Gene- GEARS plot", "mod- 7 marks", "gene- models agree", "well- known facts", "un- seen words and co- operate now")
+VOCABULARY = ("expression", "single-cell", "gene", "models", "unseen", "words")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'expression of genes'), (1, 'a single-cell atlas'), (2, 'Gene- GEARS plot'), (3, 'mod- 7 marks'), (4, 'gene-models agree'), (5, 'wellknown facts'), (6, 'unseen words and cooperate now')) AS v(id, text)")
+def dehyphenate(spark, d):
+    """The expectations are worked out by hand: merged words known, compounds known, capitals, digits, two known halves, and the rest."""
+    rows = spark.createDataFrame(list(enumerate(BROKEN)), "id long, text string")
+    return rows.select("id", layout.dehyphenate(F.col("text"), F.array(*map(F.lit, VOCABULARY))).alias("text"))
+
+
+@query("SELECT 'p' AS doc_id, 'Segmenting kidneys with few labels in tomography volumes' AS title")
+def title_pick(spark, d):
+    """The journal's name is set larger than the title and is passed over."""
+    return layout.pick_title(paper_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('abstract', 'Abstract', 1, 1), ('introduction', 'Introduction', 2, 2), ('introduction', 'Data', 2, 2), ('methods', 'Methods', 2, 2), ('methods', 'Training details', 2, 2), ('table', 'Table 2 Dice by organ and by model', 2, 2), ('references', 'References', 3, 3), ('title', '', 1, 1)) AS v(kind, heading, page_start, page_end)""")
+def section_segments(spark, d):
+    return layout.sections(paper_lines(spark)).select("kind", "heading", "page_start", "page_end")
+
+
+@query()
+def textbook_passages(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.col("lang").alias("book"), F.lit("").alias("chapter"), F.lit(None).cast("string").alias("url"))
+    return readers.textbook_to_chunks(rows).select("chunk_id", "section_heading", "text")
+
+
+@query("""WITH u AS (SELECT event_id, user_id % 7 AS session, (event_id * 13) % 40 AS doc_id, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 17 = 0 THEN 30000000 ELSE 1000 END AS n_bytes, event_id % 5 <> 0 AS is_pdf, event_id % 90 AS n_pages, event_id % 6 AS n_chunks FROM events WHERE event_type = 'click'),
+j AS (SELECT *, row_number() OVER (PARTITION BY session, doc_id ORDER BY event_id) > 1 AS again FROM u),
+w AS (SELECT *, CASE WHEN n_bytes = 0 THEN 'empty' WHEN n_bytes > 20971520 THEN 'too large' WHEN NOT is_pdf THEN 'not a PDF' WHEN n_pages > 80 THEN 'too many pages' WHEN doc_id < 3 THEN 'already in the corpus' WHEN n_chunks = 0 THEN 'no passages' WHEN again THEN 'already open' END AS why FROM j),
+t AS (SELECT *, count(*) FILTER (why IS NULL) OVER (PARTITION BY session ORDER BY event_id) AS k FROM w) SELECT event_id AS seq, coalesce(CASE WHEN why IS NULL AND k > 5 THEN 'session is full' ELSE why END, 'taken') AS verdict FROM t""")
+def upload_ladder(spark, d):
+    """The validation ladder of uploads over invented ones: empty, too large, no PDF, too long, known, without passages, open already, session full."""
+    e = table(spark, d, "events").where("event_type = 'click'")
+    uploads = e.select((F.col("user_id") % 7).alias("session"), F.col("event_id").alias("seq"), ((F.col("event_id") * 13) % 40).alias("doc_id"), F.when(F.col("event_id") % 11 == 0, 0).when(F.col("event_id") % 17 == 0, 30000000).otherwise(1000).alias("n_bytes"), (F.col("event_id") % 5 != 0).alias("is_pdf"), (F.col("event_id") % 90).alias("n_pages"), (F.col("event_id") % 6).alias("n_chunks"))
+    corpus = spark.range(3).select(F.col("id").alias("doc_id"))
+    return readers.upload_verdicts(uploads, corpus).select("seq", F.coalesce("refused", F.lit("taken")).alias("verdict"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to chunks, chunks to BM25 hits of every benchmark question, fused and diversified: (qid, rank, chunk_id, doc_id, score)."""
+    rows = chunking.chunk_documents(readers.documents_as_sections(table(spark, d, "documents"))).select("chunk_id", "doc_id", "text")
+    hits = fusion.rrf({"bm25": lexical.bm25(asked(spark, d), lexical.build_index(rows), C.RetrievalConfig().candidates)})
+    served = evidence.diversify(hits.join(rows.select("chunk_id", "doc_id"), "chunk_id"), C.PER_DOC, C.SERVED)
+    return served.select("qid", "rank", "chunk_id", "doc_id", "score")

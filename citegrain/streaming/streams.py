@@ -65,7 +65,7 @@ def drain(stream: DataFrame, keys: list[str], mode: str) -> DataFrame:
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     try:
@@ -80,7 +80,7 @@ def drain(stream: DataFrame, keys: list[str], mode: str) -> DataFrame:
 
 def stream_rate_counts(events: DataFrame, hourly: int = C.RATE_HOUR) -> DataFrame:
     """(user_id, hour, n, refused) over a stream, tolerating events that are a day late."""
-    counted = events.withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
     return counted.select("user_id", F.col("w.start").alias("hour"), "n", F.greatest(F.col("n") - hourly, F.lit(0)).alias("refused"))
 
 
