@@ -25,12 +25,14 @@ def settle(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citegrain-"))
-    out = df.checkpoint(eager=True)
-    # The shuffle files of the lineage that ends here go when the driver's JVM finds them unreachable, which it may not look for in a long while.
-    del df
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM find what is unreachable, so that the shuffle files of lineage that a checkpoint ended are removed now: it may
+    not look for them in a long while. To be called when no variable holds the frame that was settled."""
     gc.collect()
-    context._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(df: DataFrame) -> int:

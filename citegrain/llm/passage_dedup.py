@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import clean_text, partitions, settle
+from citegrain.llm.common import clean_text, partitions, release, settle
 from citegrain.llm.suffix_dedup import CHUNK_BYTES, MOST_CHUNKS, _chunk, _pack5, _shared, _short
 
 SEED, WINDOW, GAP = 5, 10, 0.1
@@ -151,18 +151,32 @@ def _shared_seeds(shares: int):
     return run
 
 
+OCCURRENCE = "seed long, asks boolean, doc_id long, place int"
+
+
 def _occurrences(batches):
-    """A row for each seed of a document and how often the document had it before; one that came before also asks for holders of it at all."""
+    """A row for each seed of a document, whose key is the seed and how often the document had it before; one that came before also asks for holders
+    of it at all."""
     for batch in batches:
-        for doc_id, places, hashes in zip(batch["doc_id"], batch["places"], batch["hashes"]):
-            places, hashes = np.frombuffer(places, "<i4"), np.frombuffer(hashes, "<i8")
-            order = np.lexsort((places, hashes))
-            h, p = hashes[order], places[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            again = nth > 0
-            yield pd.DataFrame({"seed": np.concatenate([h, h[again]]), "nth": np.concatenate([nth, 0 * nth[again]]).astype(np.int32), "asks": np.repeat([False, True], [len(h), again.sum()]), "doc_id": np.int64(doc_id), "place": np.concatenate([p, p[again]])})
+        if not len(batch):
+            continue
+        sizes = batch["places"].str.len().to_numpy(np.int64) // 4
+        owner = np.repeat(np.arange(len(batch)), sizes)
+        places = np.frombuffer(b"".join(batch["places"]), "<i4")
+        hashes = np.frombuffer(b"".join(batch["hashes"]), "<u8")
+        order = np.lexsort((places, hashes, owner))
+        h, p, o = hashes[order], places[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+        at = np.arange(len(h))
+        nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+        again = nth > 0
+        key = _mixed(h + nth * _MULTIPLIER)
+        doc = batch["doc_id"].to_numpy(np.int64)[o]
+        yield pd.DataFrame({
+            "seed": np.concatenate([key, _mixed(h[again])]).view(np.int64), "asks": np.repeat([False, True], [len(h), int(again.sum())]),
+            "doc_id": np.concatenate([doc, doc[again]]), "place": np.concatenate([p, p[again]]),
+        })
 
 
 class Fenwick:
@@ -298,9 +312,12 @@ def find_passages(documents: DataFrame) -> DataFrame:
     shared = by_chunk.applyInPandas(_seed_sets(ways), "share int, chunk int, anchors binary").groupBy("share").applyInPandas(_shared, "chunk int, share int, bits binary")
     holders = by_chunk.cogroup(shared.groupBy("chunk")).applyInPandas(_shared_seeds(ways), SHARED)
     holders = settle(holders)
-    seen = holders.select("doc_id", "places", "hashes").mapInPandas(_occurrences, "seed long, nth int, asks boolean, doc_id long, place int")
-    firsts = seen.where("not asks").groupBy("seed", "nth").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed", "nth", F.col("first.doc_id").alias("source_id"), F.col("first.place").alias("source_place"))
-    matched = seen.join(firsts, ["seed", "nth"]).where("doc_id != source_id")
+    release(documents.sparkSession)
+    seen = holders.select("doc_id", "places", "hashes").mapInPandas(_occurrences, OCCURRENCE)
+    firsts = seen.where("not asks").groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
+    # Joined by a hash of the seed: the sums are dealt by the seed itself, so both sides are dealt anew and a hot seed's occurrences can be split.
+    firsts = firsts.select(F.xxhash64("seed").alias("key"), F.col("first.doc_id").alias("source_id"), F.col("first.place").alias("source_place"))
+    matched = seen.select(F.xxhash64("seed").alias("key"), "doc_id", "place").join(firsts, "key").where("doc_id != source_id")
     # A pair of documents needs a few seeds; a document's matches are at most its own seeds.
     by_doc = matched.groupBy("doc_id").agg(F.collect_list(F.struct("source_id", "place", "source_place")).alias("matches"))
     chained = by_doc.join(holders.select("doc_id", "runs", "words"), "doc_id").mapInPandas(_chain, CHAINED)
