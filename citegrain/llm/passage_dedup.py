@@ -89,8 +89,16 @@ def _seed_sets(shares: int):
 
 
 SHARED = "doc_id long, places binary, hashes binary, runs binary, words binary"
-#: Words kept on either side of a shared seed, for what joins the seeds and for the extension of a chain.
-AROUND = 2 * LEAST_WORDS
+#: Words kept on either side of a shared seed: a passage's ends lie within SEED + WINDOW words of its outer seeds.
+AROUND = LEAST_WORDS
+
+
+def in_company(places: np.ndarray) -> np.ndarray:
+    """Which shared seeds have enough others near them to be in a chain: a run of seeds at most 2 * AROUND words apart needs LEAST_SEEDS."""
+    if not len(places):
+        return np.zeros(0, bool)
+    run = np.cumsum(np.diff(places, prepend=places[0]) > 2 * AROUND)
+    return np.bincount(run)[run] >= LEAST_SEEDS
 
 
 def keep_around(words: np.ndarray, places: np.ndarray) -> tuple[bytes, bytes]:
@@ -142,9 +150,10 @@ def _shared_seeds(shares: int):
         shared[order] = wanted[np.cumsum(new) - 1]
         rows, at = [], 0
         for k, (places, own) in enumerate(found):
-            hit = shared[at : at + len(own)]
+            hit = shared[at : at + len(own)].copy()
             at += len(own)
-            if hit.sum() >= LEAST_SEEDS:
+            hit[hit] = in_company(places[hit])
+            if hit.any():
                 rows.append((int(frame["doc_id"].iloc[k]), places[hit].astype("<i4").tobytes(), own[hit].astype("<u8").tobytes(), *keep_around(words[k], places[hit])))
         return pd.DataFrame(rows, columns=columns)
 
