@@ -63,14 +63,15 @@ def measured(documents: DataFrame) -> DataFrame:
     twice = F.filter("placed", lambda x, k: F.coalesce(hash_at(k - 1) == x["h"], F.lit(False)) | F.coalesce(hash_at(k + 1) == x["h"], F.lit(False)))
     found = placed.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     repeated = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x).cast("long")
-    counted = found.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines",
+    # Generated rather than projected, so that a filter on a measure is not rewritten into the expressions above, several times over.
+    counted = found.select("doc_id", F.inline(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_lines",
         (F.col("n_lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
-    )
+    ))))
     c = F.col
     return counted.withColumns({
         "mean_word_length": _per(c("word_chars"), c("n_words")), "symbol_ratio": _per(c("n_symbols"), c("n_words")), "stop_ratio": _per(c("n_stop_words"), c("n_words")), "repeat_ratio": _per(c("n_repeat_words"), c("n_words")),

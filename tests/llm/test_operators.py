@@ -1,0 +1,422 @@
+"""The training-data operators against brute force, round trips, held-out accuracy and odd rows."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from citegrain.llm import chat, decontaminate, entry, line_dedup, packing, passage_dedup, quality_rules, simhash, site_quality, suffix_dedup, toxicity
+from citegrain.llm.components import components
+
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, label long, chunk int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def odd_documents(spark, empty=False):
+    """Nulls in every column, empty and long texts, repeated rows, ties, and columns with names that operators use inside."""
+    long = " ".join(f"w{i % 997}x{i % 89}" for i in range(30_000))
+    rows = [
+        (None, None, None, None, None, None, None, None, None), (1, None, "en", "a", 0, 1.0, "k", 1, 1), (2, "", "en", "a", 0, 1.0, "k", 1, 1), (3, " \n\t ", "en", None, 4, 1.0, "k", 1, 1),
+        (4, "one two three", "en", "a", 13, 1.0, "k", 1, 1), (4, "one two three", "en", "a", 13, 1.0, "k", 1, 1), (5, "é😀 ß " * 30, "de", "b", 150, 1.0, "k", 1, 1), (6, long, "en", "b", len(long), 1.0, "k", 1, 1),
+        (7, long + " end", "en", "b", len(long) + 4, 1.0, "k", 1, 1), (None, "one two three", "en", "a", 13, 1.0, "k", 1, 1), (8, "#" * 3000, "en", "a", 3000, 1.0, "k", 1, 1),
+    ]
+    return spark.createDataFrame([] if empty else rows, SCHEMA)
+
+
+def odd_labels(spark):
+    return spark.createDataFrame([(None, 1, 1), (1, None, None), (4, 1, 1), (4, 0, 0), (6, 0, 0), (99, 1, 1)], "doc_id long, toxic int, quality int")
+
+
+def documents(spark, sf=SF):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+OPERATORS = {
+    "toxicity": lambda s, d: toxicity.score_documents(d, toxicity.train(d, odd_labels(s))),
+    "packing": lambda s, d: packing.digest(packing.pack_documents(d)),
+    "passages": lambda s, d: passage_dedup.find_passages(d),
+    "rules": lambda s, d: quality_rules.judge(d),
+    "sites": lambda s, d: site_quality.score_sites(d, odd_labels(s)),
+    "lines": lambda s, d: line_dedup.drop_boilerplate(d),
+    "suffixes": lambda s, d: suffix_dedup.digest(suffix_dedup.remove_repeats(d)),
+    "simhash": lambda s, d: simhash.label_documents(d),
+    "near": lambda s, d: simhash.drop_near_duplicates(d),
+    "leaks": lambda s, d: decontaminate.drop_contaminated(d, s.createDataFrame([(1, None), (None, "a b c d e f"), (2, ""), (3, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6")], "item_id long, text string")),
+}
+PER_DOCUMENT = {"toxicity", "rules", "sites", "lines", "suffixes", "simhash"}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(spark, name):
+    rows = OPERATORS[name](spark, odd_documents(spark)).collect()
+    if name in PER_DOCUMENT:
+        assert len(rows) == 11
+    if name == "packing":
+        assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+    if name == "near":  # the copies of 4 and of the empty texts go, and the longer of two alike; rows without an id stay
+        assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 3, 4, 5, 6, 8] or sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [1, 4, 5, 6, 8]
+        assert sum(r["doc_id"] is None for r in rows) == 2
+    if name == "leaks":
+        assert {r["doc_id"] for r in rows} == {None, 1, 2, 3, 4, 5, 8}
+    if name == "passages":
+        assert {r["doc_id"] for r in rows} == {7}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_tables(spark, name):
+    assert OPERATORS[name](spark, odd_documents(spark, empty=True)).count() == 0
+
+
+@needs_tables
+def test_toxicity_held_out(spark):
+    d = documents(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.score_documents(d.where("lang = 'en'"), toxicity.train(d, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == r["held_out"] for r in rows)
+    bad = [r["predicted"] for r in rows if r["toxic"] == 1]
+    good = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert np.mean(bad) > 0.8 and np.mean(good) < 0.1
+
+
+def test_toxicity_does_not_read_other_columns(spark):
+    rows = [(i, f"a{chr(97 + i % 26)} b{chr(97 + i % 23)} {'vile' if i % 2 else 'kind'} c{chr(97 + i % 25)}", "x", "y") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.train(d, labels)
+    assert model.score("aa vile cb") > 0.5 > model.score("aa kind cb")
+
+
+@given(st.lists(st.integers(1, 5000), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_packing_is_whole_and_without_padding(lengths):
+    pieces, sizes = packing.assign(lengths)
+    assert sum(sizes) == sum(lengths)
+    by_doc, by_sequence = {}, {}
+    for d, start, n, q, offset in pieces:
+        by_doc.setdefault(d, []).append((start, n))
+        by_sequence.setdefault(q, []).append((offset, n))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(by_doc[d]):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    for q, parts in by_sequence.items():
+        at = 0
+        for offset, k in sorted(parts):
+            assert offset == at
+            at += k
+        assert at == sizes[q] and (at == packing.CAPACITY or at & (at - 1) == 0)
+
+
+def test_packing_balances_cost():
+    pieces, sizes = packing.assign([1024] * 4 + [512] * 8 + [64] * 64)
+    costs = Counter()
+    for _, _, n, q, _ in pieces:
+        costs[q] += packing.cost(n)
+    assert len(sizes) == 6 and max(costs.values()) < 2 * min(costs.values())
+
+
+@given(st.text(max_size=300))
+@settings(max_examples=200, deadline=None)
+def test_ids_are_those_of_the_tokenizer(text):
+    import public_tokenizers
+
+    slow, quick = packing._encoder(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(None)
+    assert quick(text).tolist() == slow(text).tolist()
+
+
+@needs_tables
+def test_packing_keeps_the_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack_documents(documents(spark, SMALL)).orderBy("doc_id", "start").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert got == {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in documents(spark, SMALL).collect()}
+
+
+@needs_tables
+def test_rules_and_lines_match_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name in ("op4_quality_rules", "op6_line_dedup"):
+        df = entry.queries()[name](spark, SF)
+        sql = con.sql(entry.oracle_sql()[name])
+        assert sorted(map(repr, (tuple(r[c] for c in sql.columns) for r in df.collect()))) == sorted(map(repr, sql.fetchall()))
+
+
+@needs_tables
+def test_rules_keep_good_documents(spark):
+    rows = quality_rules.judge(documents(spark)).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert all(r["kept"] for r in rows if r["quality"] == 1) and not any(r["kept"] for r in rows if r["quality"] == 0)
+
+
+@needs_tables
+def test_site_quality_held_out(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = site_quality.score_sites(documents(spark), labels).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.93
+    assert all(0 < r["path_posterior"] < 1 for r in rows)
+
+
+def test_sparse_sites_shrink(spark):
+    docs = spark.createDataFrame([(i, "good words here", "en", "big" if i < 400 else "tiny") for i in range(401)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(400, 0)], "doc_id long, quality int")
+    by = {r["doc_id"]: r for r in site_quality.score_sites(docs, labels).collect()}
+    assert 0.6 < by[400]["host_posterior"] < by[0]["host_posterior"] + 0.01
+
+
+def test_boilerplate_needs_pages(spark):
+    rows = [(i, f"menu home about\nown line {i} of the page\n\nfooter {i % 40}", "h") for i in range(60)] + [(100, "lone page", "g"), (101, "copied page", "c")] + [(200 + i, "copied page", "c") for i in range(50)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[7] == "own line 7 of the page\n\nfooter 7" and out[100] == "lone page" and out[101] == "copied page"
+
+
+def test_salted_lines_equal_broadcast_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"menu\nline {i}", f"h{i % 2}") for i in range(80)], "doc_id long, text string, source string")
+    a = sorted(map(tuple, line_dedup.drop_boilerplate(rows).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert a == sorted(map(tuple, line_dedup.drop_boilerplate(rows).collect())) and all(t.startswith("line") for _, t, _ in a)
+
+
+@needs_tables
+def test_suffix_dedup_brute_force(spark):
+    extra = [(5, "é" * 60 + "a" * 200), (None, "a" * 300), (None, "a" * 300), (7, None), (8, ""), (9, "ab" * 300), (9, "ab" * 300), (11, "xab" * 3 + "ab" * 100)]
+    d = documents(spark, SMALL).select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    x = [(10**18 if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()) for r in d.collect()]
+    first: dict = {}
+    for i, b in x:
+        for p in range(len(b) - 49):
+            k = b[p : p + 50]
+            first[k] = min(first.get(k, i), i)
+    want = []
+    for i, b in x:
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        runs = sum(1 for p in range(len(b)) if gone[p] and (p == 0 or not gone[p - 1]))
+        want.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    got = [(10**18 if r[0] is None else r[0], *r[1:]) for r in suffix_dedup.digest(suffix_dedup.remove_repeats(d)).collect()]
+    assert sorted(want) == sorted(got)
+
+
+def test_levels_hold_what_was_added():
+    rng, levels, seen = np.random.default_rng(1), suffix_dedup.Levels(), set()
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 4000, 100).astype(np.uint64))
+        held = levels.holds(keys)
+        assert held.tolist() == [int(k) in seen for k in keys]
+        levels.add(keys[~held])
+        seen.update(keys.tolist())
+        sizes = [len(x) for x in levels.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def reference_fingerprint(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def union(n, links):
+    at = list(range(n))
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        at[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+@needs_tables
+def test_simhash_brute_force(spark):
+    rows = sorted((r["doc_id"], r["text"]) for r in documents(spark, SMALL).collect())
+    prints = [reference_fingerprint(t) for _, t in rows]
+    label = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.label_documents(documents(spark, SMALL)).collect()}
+    assert got == {d: (p, rows[k][0]) for (d, _), p, k in zip(rows, prints, label)}
+
+
+@pytest.mark.parametrize("group", [64, 16_384])
+def test_links_lose_none(spark, monkeypatch, group):
+    """Clusters around correlated bits, with groups small enough to be split as well."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    prints = []
+    for b in base:
+        for _ in range(40):
+            flips = rng.choice(64, rng.integers(0, 7), replace=False)
+            prints.append(int(b) ^ sum(1 << int(f) for f in flips))
+    prints = sorted(set(prints))
+    rows = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, fp long")
+    found = {r["node"]: r["label"] for r in components(simhash.links(rows, 4)).collect()}
+    want = union(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    assert [found.get(i, i) for i in range(len(prints))] == want
+
+
+def test_plan_covers_the_radius():
+    sample = np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64)
+    for radius in (0, 3, 4, 8):
+        parts = simhash.plan(sample, 100_000, radius)
+        assert sum(t + 1 for _, t in parts) == radius + 1 and len({b for g, _ in parts for b in g}) == sum(len(g) for g, _ in parts)
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
+    assert {(r["node"], r["label"]) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+@needs_tables
+def test_near_duplicates_brute_force(spark):
+    rows = sorted((r["doc_id"], r["text"]) for r in documents(spark).collect())
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    holders: dict = {}
+    links = []
+    for i, s in enumerate(sets):
+        for j, k in Counter(j for x in s for j in holders.get(x, ())).items():
+            if k >= 0.8 * (len(s) + len(sets[j]) - k):
+                links.append((i, j))
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    label = union(len(rows), links)
+    want = {rows[i][0] for i in range(len(rows)) if label[i] == i}
+    got = {r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark)).collect()}
+    assert len(got ^ want) <= 0.02 * (len(rows) - len(want)) + 1
+
+
+@needs_tables
+def test_passages_catch_repeats(spark):
+    words = {r["doc_id"]: r["text"].lower().split() for r in documents(spark).collect()}
+    first, need, shared = {}, set(), set()
+    for d in sorted(words):
+        w = words[d]
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), d) < d:
+                need.add(d)
+    for r in passage_dedup.find_passages(documents(spark)).collect():
+        shared.add(r["doc_id"])
+        assert r["source_doc_id"] < r["doc_id"] and r["identity"] >= 0.8 and r["end_word"] - r["start_word"] >= 40
+        a, b = words[r["doc_id"]][r["start_word"] : r["end_word"]], words[r["source_doc_id"]][r["source_start"] : r["source_end"]]
+        assert r["identity"] < 1 or a == b
+    assert len(need - shared) <= 0.02 * len(need) + 1
+
+
+def test_fuzzy_passage_and_clean_documents(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    passage = [word() for _ in range(80)]
+    edited = list(passage)
+    for i in (9, 31, 52, 70):
+        edited[i] = word()
+    del edited[40]
+    text = lambda middle: " ".join([word() for _ in range(60)] + middle + [word() for _ in range(60)])
+    rows = spark.createDataFrame([(1, text(passage)), (2, text(edited)), (3, text([]))], "doc_id long, text string")
+    found = passage_dedup.find_passages(rows).collect()
+    assert [(r["doc_id"], r["source_doc_id"]) for r in found] == [(2, 1)] and 0.9 < found[0]["identity"] < 1 and found[0]["end_word"] - found[0]["start_word"] >= 75
+
+
+def test_chains_rise_in_both():
+    x, y = [0, 5, 10, 15, 20, 60, 65, 70], [50, 55, 3, 60, 65, 0, 5, 10]
+    for chain in passage_dedup.chains(x, y):
+        assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(chain, chain[1:]))
+
+
+@needs_tables
+def test_decontamination_recall(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontaminate.Index(items)
+    rng = np.random.default_rng(2)
+    missed = 0
+    for k, (item_id, text) in enumerate(items):
+        words = text.split()
+        for _ in range(decontaminate.allowed(len(words))):
+            words[rng.integers(len(words))] = "changed"
+        passage = " ".join(["around"] * 30 + words + ["after"] * 30)
+        missed += item_id not in {m[0] for m in index.find(passage)}
+        assert index.find(" ".join(f"x{k}y{i}" for i in range(200))) == []
+    assert missed <= 1
+    rows = documents(spark).collect()
+    verbatim = {(r["doc_id"], i) for r in rows for i, t in items if t in r["text"]}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert verbatim <= found and len(found) <= 1.3 * len(verbatim)
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=8), st.lists(st.sampled_from("abcd"), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_least_edits_is_exact(item, text):
+    if not item:
+        return
+    row = [0] * (len(text) + 1)
+    for i, u in enumerate(item, 1):
+        before, row[0] = row[0], i
+        for j, v in enumerate(text, 1):
+            before, row[j] = row[j], min(before + (u != v), row[j] + 1, row[j - 1] + 1)
+    assert decontaminate.least_edits([ord(c) for c in item], [ord(c) for c in text])[0] == min(row)
+
+
+CONTROL = st.text(alphabet=st.sampled_from(list("\\#</turn>: \nA") + ["é", "😀"]), max_size=30)
+
+
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant"]), CONTROL), CONTROL), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_template_round_trip(turns):
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns
+    assert "".join(chat.unescape(text[a:b]) for a, b in spans) == "".join(t for r, t in turns if r == "assistant")
+
+
+@given(st.text(max_size=40), st.lists(st.integers(0, 40), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_mask_is_the_spans(text, cuts):
+    edges = sorted({min(c, len(text)) for c in cuts})
+    spans = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+    starts = list(range(0, len(text), 3))
+    offsets = np.array([(a, min(a + 3, len(text))) for a in starts], np.int64).reshape(-1, 2)
+    learnt, clipped = chat.mask(offsets, spans)
+    assert "".join(text[a:b] for a, b in clipped) == "".join(text[a:b] for a, b in spans)
+    assert learnt.tolist() == [any(a < y and x < b for x, y in spans) for a, b in offsets.tolist()]
+
+
+@needs_tables
+def test_chat_digests(spark):
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"), (-8, 0, None, None), (-8, None, "a:s\n###x", "\\\\####</turn>"), (-8, 1, "assistant", "é😀\n\\"), (None, None, None, None)]
+    both = rows.unionByName(spark.createDataFrame(odd, rows.schema))
+    want = {}
+    for r in both.collect():
+        want.setdefault(r["conv_id"], []).append((-1 if r["turn"] is None else r["turn"], r["role"] or "", r["text"] or ""))
+    for r in chat.digest(chat.format_conversations(both)).collect():
+        turns = sorted(want.pop(r["conv_id"]))
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert not want
+    assert chat.digest(chat.format_conversations(both.limit(0))).count() == 0
