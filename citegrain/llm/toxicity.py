@@ -1,9 +1,9 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
+"""Toxicity by the continuation counts of a toxic and an ordinary model over shared backoff counts.
 
-A toxic and an ordinary model are counted from labelled texts. Each interpolates its discounted bigrams with its own
-continuation counts and these with continuation counts that both classes share, so a rare expression is smoothed alike
-in both and says nothing either way. A text's score is a logistic function, fitted on labelled texts kept apart from the
-counts, of the difference of the two log-likelihoods per word.
+Both models are counted from the bigrams of labelled texts. A word's probability in a class is its share of the class's different bigrams,
+interpolated with its share of those of both classes; the more bigrams a word has, the more its own class's counts weigh. Every counted word
+has its own counts: a rare one is drawn to the shared counts, not left out. A text's score is a logistic function, fitted on labelled
+texts kept apart from the counts, of the difference of the two log-likelihoods per word.
 
 Nulls, empty texts and texts without a known word: difference 0, so the score is the calibrated prior. Labels that are null
 or repeated: nulls are left out, of repeated labels the largest counts. Repeated documents are scored each. Empty tables or
@@ -14,7 +14,6 @@ kept and never read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,54 +22,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit, part of the model's definition: labelled texts for each class in the counts and in the calibration,
-#: words in the vocabulary and bigrams (the most frequent ones). They bound what is sent to the driver and the executors.
-COUNT_ROWS, FIT_ROWS, MAX_WORDS, MAX_BIGRAMS = 5000, 2000, 1 << 17, 1 << 18
+#: Bounds of the fit, part of the model's definition: labelled texts for each class in the counts and in the calibration.
+COUNT_ROWS, FIT_ROWS = 5000, 2000
+#: Strengths of the backoff: bigrams of a word at which its own counts weigh half of what they can, and the weight of the shared counts under
+#: a class's own at most. Chosen by the AUC on the calibration fold of sf0.1 and check_s.
+WORD_STRENGTH, SHARED_STRENGTH = 3.0, 100.0
+#: Different bigrams held before they are sent on, and words whose hashes a model remembers.
+HELD_PAIRS, HELD_WORDS = 200_000, 1 << 18
 START = "<s>"
-#: A word with fewer different neighbours than this in both classes together is predicted by the shared counts alone.
-RARE = 20
-#: Strengths of the backoff, in counts: of the shared continuation counts under a class's own (as a share of that class's
-#: total), and of the shared bigrams under a class's own. They generalise the discount's mass (a Pitman-Yor strength).
-SHARED_STRENGTH, BIGRAM_STRENGTH = 10.0, 1e6
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
+def _hash(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 @dataclass
 class Model:
-    words: dict = field(default_factory=dict)
-    unigram: np.ndarray = field(default_factory=lambda: np.zeros((2, 1)))  # probability by class and word
-    left: np.ndarray = field(default_factory=lambda: np.ones((2, 1)))  # weight of the backoff after a word
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # previous word * len(words) + word, sorted
-    bigram: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))  # discounted probability
-    lift: np.ndarray = field(default_factory=lambda: np.zeros(0))  # shared bigram over shared unigram probability
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the counted words, sorted
+    lean: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # a word's toxic minus ordinary log-probability
     slope: float = 0.0
     offset: float = 0.0
 
+    def __post_init__(self):
+        self._held: dict = {}
+
+    def state(self) -> dict:
+        return {"keys": self.keys, "lean": self.lean, "slope": self.slope, "offset": self.offset}
+
     def difference(self, text: str | None) -> float:
         """Toxic minus ordinary log-likelihood per word; words that no class knows count in the length only."""
         tokens = TOKEN.findall((text or "").lower())
-        if not tokens or len(self.words) < 2:
-            return 0.0
-        get, n = self.words.get, len(self.words)
-        ids = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
-        before = np.concatenate(([get(START, 0)], ids[:-1]))
-        known = ids > 0
-        total = len(ids)
-        ids, before = ids[known], before[known]
-        if not len(ids):
+        if not tokens or not len(self.keys):
             return 0.0
-        p = self.left[:, before] * self.unigram[:, ids]
-        if len(self.keys):
-            key = before * n + ids
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (before > 0)
-            at = at[hit]
-            p[:, hit] = self.left[:, before[hit]] * self.lift[at] * self.unigram[:, ids[hit]] + self.bigram[:, at]
-        ratio = np.log(p)
-        return float((ratio[1] - ratio[0]).sum() / total)
+        if len(self._held) > HELD_WORDS:
+            self._held.clear()
+        new = [*set(tokens).difference(self._held)]
+        if new:
+            hashes = np.fromiter(map(_hash, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            self._held.update(zip(new, np.where(self.keys[at] == hashes, self.lean[at], 0.0).tolist()))
+        return sum(map(self._held.__getitem__, tokens)) / len(tokens)
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.difference(text) + self.offset
@@ -89,19 +86,46 @@ def _sampled(labels: DataFrame) -> DataFrame:
 
 
 def _bigrams(batches):
-    for batch in batches:
-        for c in (0, 1):
-            counts: Counter = Counter()
-            for text in batch["text"][batch["toxic"] == c]:
-                tokens = TOKEN.findall((text or "").lower())
-                counts.update(zip([START, *tokens[:-1]], tokens))
-            if counts:
-                a, b = zip(*counts)
-                yield pd.DataFrame({"before": a, "word": b, "c0": np.array([*counts.values()], np.int64) * (1 - c), "c1": np.array([*counts.values()], np.int64) * c})
+    """(before, word, classes): hashes of the two words of each different bigram, and the classes that have it (1 ordinary, 2 toxic)."""
+    known: dict = {}
+    begin = _hash(START)
 
+    def rows(found):
+        both = np.array([*found], np.uint64).view(np.int64)
+        return pd.DataFrame({"before": both[:, 0], "word": both[:, 1], "classes": np.fromiter(found.values(), np.int8, len(found))})
 
-def _discount(ones: float, twos: float) -> float:
-    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    for batch in batches:
+        found: dict = {}
+        for text, toxic in zip(batch["text"], batch["toxic"]):
+            tokens = TOKEN.findall((text or "").lower())
+            if len(known) > HELD_WORDS:
+                known.clear()
+            for t in set(tokens).difference(known):
+                known[t] = _hash(t)
+            ids = [known[t] for t in tokens]
+            for pair in set(zip([begin, *ids[:-1]], ids)):
+                found[pair] = found.get(pair, 0) | 1 << toxic
+            if len(found) > HELD_PAIRS:
+                yield rows(found)
+                found = {}
+        if found:
+            yield rows(found)
+
+
+def _packed(batches):
+    for x in batches:
+        if len(x):
+            yield pd.DataFrame({"words": [x["word"].to_numpy("<i8").tobytes()], "counts": [x[["n0", "n1"]].to_numpy("<i4").tobytes()]})
+
+
+def _lean(own: np.ndarray) -> np.ndarray:
+    """Toxic minus ordinary log-probability of words with own[c] different bigrams in class c."""
+    total, n = own.sum(1, keepdims=True), own.sum(0)
+    weight = n / (n + WORD_STRENGTH) / (1 + SHARED_STRENGTH)
+    p = weight * own / total
+    shared = (1 - weight) * n / n.sum()
+    p += (1 - p.sum(1, keepdims=True)) * shared / shared.sum()
+    return np.log(p[1] / p[0])
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -111,57 +135,26 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     # at most 2 * (COUNT_ROWS + FIT_ROWS) rows of 16 bytes: a proven bound
     chosen = F.broadcast(_sampled(labels.select("doc_id", "toxic")))
     texts = settle(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "fit"))
-    pairs = settle(texts.where("fit = 0").select("text", "toxic").mapInPandas(_bigrams, "before string, word string, c0 long, c1 long").groupBy("before", "word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    by = lambda c, what: F.sum((F.col(c) == what).cast("long"))
-    has = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    sums = pairs.agg(by("c0", 1).alias("one0"), by("c0", 2).alias("two0"), by("c1", 1).alias("one1"), by("c1", 2).alias("two1"), has("c0").alias("t0"), has("c1").alias("t1"), F.count("*").alias("t")).first()
-    model = Model(words={"": 0})
-    seen = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not sums["t0"] or not sums["t1"]:
-        model.offset = 40.0 if sums["t1"] or seen.get(1) and not seen.get(0) else -40.0
+    pairs = texts.where("fit = 0").select("text", "toxic").mapInPandas(_bigrams, "before long, word long, classes byte").groupBy("before", "word").agg(F.bit_or("classes").alias("classes"))
+    has = lambda c: F.sum(F.col("classes").bitwiseAND(F.lit(c)).cast("boolean").cast("int")).cast("int")
+    # Every counted word comes to the driver and goes to the executors, in 16 and 12 bytes.
+    packed = pairs.groupBy("word").agg(has(1).alias("n0"), has(2).alias("n1")).mapInPandas(_packed, "words binary, counts binary").collect()
+    model = Model()
+    words = np.frombuffer(b"".join(r["words"] for r in packed), "<u8")
+    own = np.frombuffer(b"".join(r["counts"] for r in packed), "<i4").reshape(-1, 2).T.astype(float)
+    if not own[0].sum() or not own[1].sum():
+        seen = {r["toxic"] for r in texts.select("toxic").distinct().collect()}
+        model.offset = 40.0 if own[1].sum() or seen == {1} else -40.0
         return model
-    followers = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("c0").alias("f0"), F.sum("c1").alias("f1"), has("c0").alias("g0"), has("c1").alias("g1"))
-    conts = pairs.groupBy("word").agg(has("c0").alias("n0"), has("c1").alias("n1"), F.count("*").alias("n"), F.sum(F.col("c0") + F.col("c1")).alias("uses"))
-    vocabulary = conts.join(followers, "word", "full").where((F.col("word") == START) | (F.col("n") >= RARE)).na.fill(0).orderBy(F.desc("n"), "word").limit(MAX_WORDS).toPandas()
-    kept = pairs.where("c0 + c1 > 1").orderBy(F.desc(F.col("c0") + F.col("c1")), "before", "word").limit(MAX_BIGRAMS).toPandas()
-    model.words |= {w: i + 1 for i, w in enumerate(vocabulary["word"])}
-    n = len(model.words)
-    d = [_discount(sums["one0"], sums["two0"]), _discount(sums["one1"], sums["two1"])]
-    # Shared continuation counts, ending in a uniform share for what is left.
-    shared = np.zeros(n)
-    shared[1:] = (np.maximum(vocabulary["n"] - 0.75, 0) + 0.75 * len(vocabulary) / n) / sums["t"]
-    model.unigram = np.zeros((2, n))
-    for c in (0, 1):
-        own, types = vocabulary[f"n{c}"].to_numpy(float), float(sums[f"t{c}"])
-        strength = SHARED_STRENGTH * types
-        less = np.maximum(own - d[c], 0)
-        model.unigram[c, 1:] = (less + (types - less.sum() + strength) * shared[1:]) / (types + strength)
-    model.unigram = np.maximum(model.unigram, 1e-12)
-    get = model.words.get
-    b, w = np.array([get(x, 0) for x in kept["before"]], np.int64), np.array([get(x, 0) for x in kept["word"]], np.int64)
-    ok = (b > 0) & (w > 0)
-    kept, b, w = kept[ok], b[ok], w[ok]
-    order = np.argsort(b * n + w)
-    kept, b, w = kept.iloc[order], b[order], w[order]
-    model.keys, model.bigram, model.left = b * n + w, np.zeros((2, len(b))), np.ones((2, n))
-    totals = np.zeros((2, n))
-    totals[:, 1:] = vocabulary[["f0", "f1"]].to_numpy(float).T
-    # Under a class's bigrams lie the shared ones: an expression that either class repeats is expected in both.
-    pooled = np.maximum(kept["c0"].to_numpy(float) + kept["c1"].to_numpy(float) - 0.75, 0) / totals.sum(0)[b]
-    spare = np.maximum(1 - np.bincount(b, pooled, n), 1e-3)
-    model.lift = spare[b] + pooled / shared[w]
-    for c in (0, 1):
-        model.bigram[c] = np.maximum(kept[f"c{c}"].to_numpy(float) - d[c], 0) / (totals[c][b] + BIGRAM_STRENGTH)
-        # What the kept bigrams leave goes to the backoff; rarer bigrams count as unseen in both classes alike.
-        model.left[c] -= np.bincount(b, model.bigram[c], n)
-    # Where no bigram is kept the shared mass is the same for both classes and cancels.
+    order = np.argsort(words)
+    model.keys, model.lean = words[order], _lean(own)[order].astype(np.float32)
     _calibrate(model, texts, labels.where(fold(F.col("doc_id")) != 0).agg(F.avg("toxic")).first()[0] or 0.5)
     return model
 
 
 def _calibrate(model: Model, texts: DataFrame, share: float) -> None:
     """A logistic fit of one slope and offset by Newton's method, with a small ridge."""
-    ready = texts.sparkSession.sparkContext.broadcast(vars(model))
+    ready = texts.sparkSession.sparkContext.broadcast(model.state())
 
     def measure(batches):
         m = Model(**ready.value)
@@ -192,7 +185,7 @@ def _calibrate(model: Model, texts: DataFrame, share: float) -> None:
 
 def score_column(spark, model: Model, text: Column) -> Column:
     """The score of a text column, from 0 to 1."""
-    ready = spark.sparkContext.broadcast(vars(model))
+    ready = spark.sparkContext.broadcast(model.state())
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
