@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit, part of the model's definition: labelled texts for each class in the counts and in the calibration.
-COUNT_ROWS, FIT_ROWS = 5000, 2000
+#: Labelled texts for each class in the calibration, part of the model's definition. All others are counted.
+FIT_ROWS = 2000
 #: Strengths of the backoff: bigrams of a word at which its own counts weigh half of what they can, and the weight of the shared counts under
 #: a class's own at most. Chosen by the AUC on the calibration fold of sf0.1 and check_s.
 WORD_STRENGTH, SHARED_STRENGTH = 3.0, 100.0
@@ -74,15 +74,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _sampled(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, fit): the bounded sample of labelled rows, spread evenly by a hash of doc_id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(fold(F.col("doc_id")) != 0).withColumn("fit", (fold(F.col("doc_id")) == 1).cast("int"))
-    parts = [known.where((F.col("toxic") == c) & (F.col("fit") == f)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS if f else COUNT_ROWS) for c in (0, 1) for f in (0, 1)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): a row for each labelled document outside fold 0."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
+    return rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _sampled(known: DataFrame) -> DataFrame:
+    """The bounded sample for the calibration, spread evenly by a hash of doc_id."""
+    zero, one = (known.where((F.col("toxic") == c) & (fold(F.col("doc_id")) == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for c in (0, 1))
+    return zero.unionByName(one)
 
 
 def _bigrams(batches):
@@ -132,10 +133,11 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows whose fold is not 0; fold 1 calibrates, folds 2 to 4 are counted. doc_id only joins and deals."""
     from citegrain.llm.common import settle
 
-    # at most 2 * (COUNT_ROWS + FIT_ROWS) rows of 16 bytes: a proven bound
-    chosen = F.broadcast(_sampled(labels.select("doc_id", "toxic")))
-    texts = settle(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "fit"))
-    pairs = texts.where("fit = 0").select("text", "toxic").mapInPandas(_bigrams, "before long, word long, classes byte").groupBy("before", "word").agg(F.bit_or("classes").alias("classes"))
+    known = _known(labels.select("doc_id", "toxic"))
+    # 16 bytes are broadcast for each counted label (about a megabyte for half a gigabyte of documents), so that no text is shuffled.
+    counted = documents.select("doc_id", "text").join(F.broadcast(known.where(fold(F.col("doc_id")) >= 2)), "doc_id").select("text", "toxic")
+    texts = settle(documents.select("doc_id", "text").join(F.broadcast(_sampled(known)), "doc_id").select("text", "toxic"))
+    pairs = counted.mapInPandas(_bigrams, "before long, word long, classes byte").groupBy("before", "word").agg(F.bit_or("classes").alias("classes"))
     has = lambda c: F.sum(F.col("classes").bitwiseAND(F.lit(c)).cast("boolean").cast("int")).cast("int")
     # Every counted word comes to the driver and goes to the executors, in 16 and 12 bytes.
     packed = pairs.groupBy("word").agg(has(1).alias("n0"), has(2).alias("n1")).mapInPandas(_packed, "words binary, counts binary").collect()
@@ -143,7 +145,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     words = np.frombuffer(b"".join(r["words"] for r in packed), "<u8")
     own = np.frombuffer(b"".join(r["counts"] for r in packed), "<i4").reshape(-1, 2).T.astype(float)
     if not own[0].sum() or not own[1].sum():
-        seen = {r["toxic"] for r in texts.select("toxic").distinct().collect()}
+        seen = {r["toxic"] for r in counted.unionByName(texts).select("toxic").distinct().collect()}
         model.offset = 40.0 if own[1].sum() or seen == {1} else -40.0
         return model
     order = np.argsort(words)
@@ -161,7 +163,7 @@ def _calibrate(model: Model, texts: DataFrame, share: float) -> None:
         for x in batches:
             yield pd.DataFrame({"x": [m.difference(t) for t in x["text"]], "toxic": x["toxic"].astype("int32")})
 
-    rows = texts.where("fit = 1").select("text", "toxic").mapInPandas(measure, "x double, toxic int").toPandas()
+    rows = texts.mapInPandas(measure, "x double, toxic int").toPandas()
     x, y = rows["x"].to_numpy(float), rows["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         model.slope, model.offset = 20.0, 0.0

@@ -22,3 +22,11 @@ def test_rare_markers_are_not_dropped(spark):
     out = [r for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).collect() if r["held_out"]]
     bad, good = ([r["predicted"] for r in out if (r["doc_id"] % 5 == 0) == c] for c in (True, False))
     assert np.mean(bad) > 0.9 and np.mean(good) < 0.05
+
+
+def test_all_labelled_texts_are_counted(spark):
+    """Each of 4,200 toxic texts and of 14,000 in all has a word of its own kind; every counted one is known to the model."""
+    docs = spark.range(14_000).selectExpr("id AS doc_id", "concat('common x', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 10 < 3 AS int) AS toxic")
+    model = toxicity.train(docs, labels)
+    assert len(model.keys) == 1 + docs.where(toxicity.fold(docs["doc_id"]) >= 2).count()
