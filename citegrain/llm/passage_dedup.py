@@ -4,7 +4,8 @@ Seeds are runs of SEED words; of each WINDOW neighbouring ones the one of least
 that two documents hold is joined to its first holder (the smallest doc_id that has it as often), one or two links per occurrence and never
 all pairs; a repeated passage so meets the first document that has it. The seeds that a document shares with a first holder are chained in order in both by
 a sweep with a Fenwick tree over the holder's places: a seed adds its words, a gap costs GAP for each word it spans in either. Chains are extended
-and aligned by word edits between their seeds; what has LEAST_WORDS words and LEAST_IDENTITY is a repeated passage.
+and aligned by word edits between their seeds, and split at the gap of most edits while they agree in too little; what has LEAST_WORDS words and
+LEAST_IDENTITY is a repeated passage.
 
 A null or empty text has no passage. Rows with a null doc_id are left out of the search (nothing can be named as its source). Rows that repeat a doc_id are
 one document, of the longest of its texts (of several, the greatest). Empty tables give no row. Extra columns are not read. Very long texts are searched whole.
@@ -12,6 +13,8 @@ one document, of the longest of its texts (of several, the greatest). Empty tabl
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -230,8 +233,11 @@ def chains(x: list[int], y: list[int]) -> list[list[int]]:
             break
         chain.reverse()
         out.append(chain)
-        a, b = x[chain[0]], x[chain[-1]]
-        left = [i for i in left if not a <= x[i] <= b]
+        # A gap that a passage fits in is not the chain's: what lies there can be in another chain.
+        at = [x[i] for i in chain]
+        new = [k for k in range(1, len(at)) if at[k] - at[k - 1] >= LEAST_WORDS]
+        starts, stops = [at[k] for k in [0, *new]], [at[k - 1] for k in [*new, len(at)]]
+        left = [i for i in left if (k := bisect_right(starts, x[i]) - 1) < 0 or x[i] > stops[k]]
     return out
 
 
@@ -283,6 +289,35 @@ def _grow(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return at, changed
 
 
+def _pieces(mine: np.ndarray, theirs: np.ndarray, xs: list[int], ys: list[int]):
+    """(start, end, source start, source end, identity) of the passages in a chain. A chain that agrees in too few words is split at its gap of
+    most edits, and either side is judged alone."""
+    wrong = [0]  # edits before each seed
+    for (u0, v0), (u, v) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+        x, y = u0 + SEED, v0 + SEED
+        if u < x or v < y:  # seeds that overlap: the longer step is made of edits
+            wrong.append(abs((u - x) - (v - y)))
+        else:
+            wrong.append(edits(mine[x:u].tolist(), theirs[y:v].tolist()))
+    todo = [(0, len(xs))]
+    while todo:
+        i, j = todo.pop()
+        x, y = xs[j - 1] + SEED, ys[j - 1] + SEED
+        before, there = (0, 0) if i == 0 else (min(xs[i], xs[i - 1] + SEED), min(ys[i], ys[i - 1] + SEED))
+        after, beyond = (len(mine), len(theirs)) if j == len(xs) else (max(x, xs[j]), max(y, ys[j]))
+        more, changed = _grow(mine[x:after], theirs[y:beyond])
+        less, changed_before = _grow(mine[before : xs[i]][::-1], theirs[there : ys[i]][::-1])
+        start, end, first, until = xs[i] - less, x + more, ys[i] - less, y + more
+        identity = 0.0
+        if min(end - start, until - first) >= LEAST_WORDS:
+            identity = 1 - (sum(wrong[i + 1 : j]) + changed + changed_before) / max(end - start, until - first)
+        if identity >= LEAST_IDENTITY:
+            yield start, end, first, until, identity
+        elif j - i > 1:
+            k = max(range(i + 1, j), key=wrong.__getitem__)
+            todo += [(k, j), (i, k)]
+
+
 PASSAGE = "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int, identity double"
 
 
@@ -291,21 +326,7 @@ def _align(batches):
         rows = []
         for doc_id, source, xs, ys, words, at, theirs in zip(batch["doc_id"], batch["source_id"], batch["xs"], batch["ys"], batch["words"], batch["at"], batch["source"]):
             mine, theirs = np.frombuffer(words, "<u4"), laid_out(theirs["runs"], theirs["words"], 1)
-            xs = [int(v) - at for v in xs]
-            wrong, x, y = 0, xs[0] + SEED, int(ys[0]) + SEED
-            for u, v in zip(xs[1:], ys[1:]):
-                v = int(v)
-                if u < x or v < y:  # seeds that overlap: the longer step is made of edits
-                    wrong += abs((u - x) - (v - y))
-                else:
-                    wrong += edits(mine[x:u].tolist(), theirs[y:v].tolist())
-                x, y = u + SEED, v + SEED
-            more, changed = _grow(mine[x:], theirs[y:])
-            less, changed_before = _grow(mine[: xs[0]][::-1], theirs[: int(ys[0])][::-1])
-            start, end, there, until = xs[0] - less, x + more, int(ys[0]) - less, y + more
-            size = max(end - start, until - there)
-            identity = 1 - (wrong + changed + changed_before) / size
-            if min(end - start, until - there) >= LEAST_WORDS and identity >= LEAST_IDENTITY:
+            for start, end, there, until, identity in _pieces(mine, theirs, [int(v) - at for v in xs], [int(v) for v in ys]):
                 rows.append((doc_id, start + at, end + at, source, there, until, identity))
         yield pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "source_doc_id", "source_start", "source_end", "identity"])
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from citegrain.llm import toxicity
+from citegrain.llm import passage_dedup, toxicity
 
 
 def test_rare_markers_are_not_dropped(spark):
@@ -30,3 +30,17 @@ def test_all_labelled_texts_are_counted(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 10 < 3 AS int) AS toxic")
     model = toxicity.train(docs, labels)
     assert len(model.keys) == 1 + docs.where(toxicity.fold(docs["doc_id"]) >= 2).count()
+
+
+def test_passages_with_other_text_between(spark):
+    """Two exact passages in the same order, with 40 to 150 words of each document's own between: both are found."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    rows, want = [], set()
+    for k, (size, gap) in enumerate([(60, 40), (60, 100), (100, 60), (200, 150)] * 5):
+        one, two = fresh(size), fresh(size)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, " ".join(fresh(30) + one + fresh(gap) + two + fresh(30))))
+        want |= {(2 * k + 1, 30, 30 + size), (2 * k + 1, 30 + size + gap, 30 + 2 * size + gap)}
+    found = passage_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == want and all(r["identity"] == 1 for r in found)
