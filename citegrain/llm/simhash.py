@@ -122,6 +122,10 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
+#: What links() is told of each fingerprint to pass over pairs that need no verification: its component so far, and its set's size.
+UNLIKE = {"label": "long", "size": "int"}
+
+
 def _probes(parts):
     """Rows (part, value, probe, fp, id): each fingerprint at its own value and at those around it."""
 
@@ -132,7 +136,7 @@ def _probes(parts):
             for k, (group, threshold) in enumerate(parts):
                 own = bits[:, group] @ (1 << np.arange(len(group), dtype=np.int64))
                 for mask in _ball(len(group), threshold):
-                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids})
+                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids} | {c: batch[c] for c in UNLIKE if c in batch})
 
     return run
 
@@ -213,15 +217,45 @@ def _forest(radius: int, nearest: bool):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFrame:
+def _unlike(radius: int, ratio: float):
+    """All pairs within the radius whose labels differ and whose sizes allow a Jaccard similarity of `ratio`."""
+
+    def run(batches):
+        for gid, probe, fps, ids, label, size in _groups(batches, ["gid", "probe", "fp", "id", *UNLIKE]):
+            fps = fps.view(np.uint64)
+            new = np.append(True, gid[1:] != gid[:-1])
+            at = np.flatnonzero(new)
+            mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)  # a group of one label has nothing to verify
+            keep = mixed[np.cumsum(new) - 1]
+            gid, probe, fps, ids, label, size = (x[keep] for x in (gid, probe, fps, ids, label, size))
+            live, step = np.arange(len(gid)), 1
+            while len(live):
+                live = live[live + step < len(gid)]
+                live = live[gid[live] == gid[live + step]]
+                i, j = live, live + step
+                near = (label[i] != label[j]) & ((probe[i] == 0) | (probe[j] == 0)) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
+                i, j = i[near], j[near]
+                apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int8)
+                near = apart <= radius
+                i, j = i[near], j[near]
+                if len(i):
+                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart[near]})
+                step += 1
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: float | None = None) -> DataFrame:
     """(a, b, apart) between the ids of `fps` (id, fp): enough of the links within `radius` bits to join the same components in each group.
 
-    fps is read more than once and so is best settled. With nearest=True ids must be non-negative."""
+    fps is read more than once and so is best settled. With nearest=True ids must be non-negative.
+    unlike: all links between different labels whose sizes have at least this ratio; fps also has `label` and `size`."""
+    more = {} if unlike is None else UNLIKE
     total = fps.count()
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, total, radius)
-    rows = fps.select("id", "fp").mapInPandas(_probes(parts), "part int, value long, probe byte, fp long, id long")
+    rows = fps.select("id", "fp", *more).mapInPandas(_probes(parts), ", ".join(["part int, value long, probe byte, fp long, id long", *(f"{c} {kind}" for c, kind in more.items())]))
     # Hot values: at most one in GROUP rows, known before the rows are dealt.
     hot = settle(rows.groupBy("part", "value").count().where(F.col("count") > GROUP).select("part", "value", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")))
     if hot.limit(1).count():
@@ -230,8 +264,8 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False) -> DataFr
         rows = rows.withColumn("gid", F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")))
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
-    dealt = rows.select("gid", "probe", "fp", "id").repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe")
-    return dealt.mapInPandas(_forest(radius, nearest), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe")
+    return dealt.mapInPandas(_forest(radius, nearest) if unlike is None else _unlike(radius, unlike), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -254,8 +288,8 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     """(rows, found): rows (doc_id, text_id, least) has every document's text class and its least doc_id; found (a, b) are links between the least
     doc_ids of classes whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Equal texts are one class. Each class is verified against its nearest candidates before and after it in every group of fingerprints, the
-    nearest two over all groups first; transitive links join the rest."""
+    Equal texts are one class. Each class is verified against its nearest candidates before and after it over all groups of fingerprints; then all
+    candidates are that these links do not join. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     body = clean_text()
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(body, 256).alias("text_id"), body.alias("text")).where("doc_id is not null")
     rows = settle(keyed.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
@@ -275,10 +309,18 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     sets = first.join(ends, "doc_id").select("doc_id", words.alias("words")).select("doc_id", hashes.alias("hashes"))
     sets = sets.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0))), window)).alias("set"))
     sets = settle(sets)
-    paired = chosen.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right")), "b")
-    both = F.size(F.array_intersect("left", "right"))
-    found = paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b")
-    return rows, settle(found)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        paired = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right")), "b")
+        both = F.size(F.array_intersect("left", "right"))
+        return settle(paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b"))
+
+    found = alike(chosen)
+    joined = components(found).select(F.col("node").alias("doc_id"), "label")
+    apart = prints.join(sets.select("doc_id", F.size("set").alias("size")), "doc_id").join(joined, "doc_id", "left")
+    apart = settle(apart.select(F.col("doc_id").alias("id"), "fp", F.coalesce("label", "doc_id").alias("label"), "size"))
+    rest = links(apart, radius, unlike=similarity).select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    return rows, found.unionByName(alike(rest))
 
 
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from citegrain.llm import passage_dedup, toxicity
+from citegrain.llm import passage_dedup, simhash, toxicity
 
 
 def test_rare_markers_are_not_dropped(spark):
@@ -44,3 +44,20 @@ def test_passages_with_other_text_between(spark):
         want |= {(2 * k + 1, 30, 30 + size), (2 * k + 1, 30 + size + gap, 30 + 2 * size + gap)}
     found = passage_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} == want and all(r["identity"] == 1 for r in found)
+
+
+def test_all_candidates_are_verified(spark):
+    """A text's nearest fingerprints are of its own words in other orders; farther ones are those of its near copies."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(20):
+        words = [f"k{k}w{i}" for i in range(200)]
+        copy = list(words)
+        for i in (60, 130):
+            copy[i] = f"k{k}other{i}"
+        shuffled = [" ".join(rng.permutation(words)) for _ in range(2)] + [" ".join(rng.permutation(copy)) for _ in range(2)]
+        texts = [" ".join(words), *shuffled, " ".join(copy)]
+        rows += [(10 * k + n, t) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert left == {10 * k + n for k in range(20) for n in range(5)}
