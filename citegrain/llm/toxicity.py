@@ -1,19 +1,24 @@
-"""Toxicity by the continuation counts of a toxic and an ordinary model over shared backoff counts.
+"""Toxicity by class-conditional Kneser-Ney models over shared backoff counts.
 
-Both models are counted from the bigrams of labelled texts. A word's probability in a class is its share of the class's different bigrams,
-interpolated with its share of those of both classes; the more bigrams a word has, the more its own class's counts weigh. Every counted word
-has its own counts: a rare one is drawn to the shared counts, not left out. A text's score is a logistic function, fitted on labelled
-texts kept apart from the counts, of the difference of the two log-likelihoods per word.
+An expression is a word, spelt between a start and an end sign. Each class has a Kneser-Ney model of the next character after the ORDER - 1 before it in the
+word, counted in labelled texts (a word once for each text): absolute discounting of the class's own counts, backing off to one model of both
+classes' counts, and that to ordinary Kneser-Ney continuation counts of shorter contexts. So an inflected form that was never seen is judged by the stem
+it shares with toxic ones, and a rare one is drawn to what both classes share.
 
-Nulls, empty texts and texts without a known word: difference 0, so the score is the calibrated prior. Labels that are null
+A word's difference is its toxic minus its ordinary log-likelihood. Differences within DEAD_ZONE count as none: those of common words are of
+language and chance, and there are many. A text's difference is the sum over its words, normalised by the square root of their number, as a sum's
+spread grows. The score is a logistic function of it, fitted on labelled texts kept apart from the counts.
+
+Nulls, empty texts and texts without a word: difference 0, so the score is the calibrated prior. A null doc_id is not held out. Labels that are null
 or repeated: nulls are left out, of repeated labels the largest counts. Repeated documents are scored each. Empty tables or
 labels of one class only: every score is 0 if no toxic text is known (1 if only toxic ones are), nothing is learned. Extra columns are
-kept and never read.
+never read; score_documents leaves them out, drop_toxic keeps them. Words of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,28 +29,51 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled texts for each class in the calibration, part of the model's definition. All others are counted.
 FIT_ROWS = 2000
-#: Strengths of the backoff: bigrams of a word at which its own counts weigh half of what they can, and the weight of the shared counts under
-#: a class's own at most. Chosen by the AUC on the calibration fold of sf0.1 and check_s.
-WORD_STRENGTH, SHARED_STRENGTH = 3.0, 100.0
-#: Different bigrams held before they are sent on, and words whose hashes a model remembers.
-HELD_PAIRS, HELD_WORDS = 200_000, 1 << 18
-START = "<s>"
+#: Characters of a gram, the discount, how many of a context's own counts weigh as much as the shared ones, and the difference that counts as none.
+#: Chosen on the calibration fold of sf0.1 and check_s.
+ORDER, DISCOUNT, STRENGTH, DEAD_ZONE = 6, 0.75, 50.0, 2.0
+#: Different grams of a model, 12 bytes each in a broadcast: where there would be more, the order is lowered until they fit.
+MOST_GRAMS = 1 << 22
+#: Labels, 16 bytes each, that may be broadcast to the documents; more are joined by a shuffle of what is labelled.
+BROADCAST_LABELS = 1 << 22
+#: Different words held before their grams are sent on, and words whose differences a model remembers.
+HELD_WORDS, KNOWN_WORDS = 100_000, 1 << 18
+START, END = "\x02", "\x03"
+
+_MULTIPLIER, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def _hash(word: str) -> int:
-    import xxhash
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _CONTEXT
+    return h ^ (h >> np.uint64(29))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
 
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+def _hashes(codes: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the last `sizes` (at most `most`) characters up to each place of `codes`, and of those but the last one: a gram and its context."""
+    gram = np.zeros(len(codes), np.uint64)
+    context = np.zeros(len(codes), np.uint64)
+    for k in range(most - 1, -1, -1):
+        here = np.zeros(len(codes), np.uint64)
+        here[k:] = codes[: len(codes) - k] if k else codes
+        gram = np.where(sizes > k, gram * _MULTIPLIER + here + np.uint64(1), gram)
+        if k:
+            context = np.where(sizes > k, context * _MULTIPLIER + here + np.uint64(1), context)
+    return _mixed(gram), _mixed(context ^ _CONTEXT)
 
 
 @dataclass
 class Model:
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the counted words, sorted
-    lean: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # a word's toxic minus ordinary log-probability
+    order: int = ORDER
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the counted grams and contexts, sorted
+    lean: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # toxic minus ordinary log-probability of a gram's last character; of a context: of any other
     slope: float = 0.0
     offset: float = 0.0
 
@@ -53,25 +81,47 @@ class Model:
         self._held: dict = {}
 
     def state(self) -> dict:
-        return {"keys": self.keys, "lean": self.lean, "slope": self.slope, "offset": self.offset}
-
-    def difference(self, text: str | None) -> float:
-        """Toxic minus ordinary log-likelihood per word; words that no class knows count in the length only."""
-        tokens = TOKEN.findall((text or "").lower())
-        if not tokens or not len(self.keys):
-            return 0.0
-        if len(self._held) > HELD_WORDS:
-            self._held.clear()
-        new = [*set(tokens).difference(self._held)]
-        if new:
-            hashes = np.fromiter(map(_hash, new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            self._held.update(zip(new, np.where(self.keys[at] == hashes, self.lean[at], 0.0).tolist()))
-        return sum(map(self._held.__getitem__, tokens)) / len(tokens)
+        return {"order": self.order, "keys": self.keys, "lean": self.lean, "slope": self.slope, "offset": self.offset}
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, self.lean[at]
+
+    def word_differences(self, words: list[str]) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each word."""
+        out = np.zeros(len(words))
+        if not len(self.keys) or not words:
+            return out
+        codes = _codes("".join(START + w + END for w in words))
+        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        begins = np.cumsum(lengths) - lengths
+        place = np.arange(len(codes)) - np.repeat(begins, lengths)
+        gram, context = _hashes(codes, np.minimum(place + 1, self.order), self.order)
+        seen, own = self._find(gram)
+        known, other = self._find(context)
+        value = np.where(seen, own, np.where(known, other, 0)).astype(float)
+        value[begins] = 0  # the start sign is given
+        return np.add.reduceat(value, begins)
+
+    def differences(self, texts) -> list[float]:
+        """Each text's sum of its words' differences beyond the dead zone, normalised by its length; the new words of a few hundred are looked up together."""
+        texts, out = list(texts), []
+        for at in range(0, len(texts), 200):
+            part = [TOKEN.findall((t or "").lower()) for t in texts[at : at + 200]]
+            if len(self._held) > KNOWN_WORDS:
+                self._held.clear()
+            new = [*set().union(*part).difference(self._held)]
+            if new:
+                v = self.word_differences(new)
+                self._held.update(zip(new, (np.sign(v) * np.maximum(np.abs(v) - DEAD_ZONE, 0)).tolist()))
+            out += [sum(map(self._held.__getitem__, p)) / len(p) ** 0.5 if p else 0.0 for p in part]
+        return out
+
+    def scores(self, texts) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(self.differences(texts), float) + self.offset, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.difference(text) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(self.scores([text])[0])
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -86,70 +136,140 @@ def _sampled(known: DataFrame) -> DataFrame:
     return zero.unionByName(one)
 
 
-def _bigrams(batches):
-    """(before, word, classes): hashes of the two words of each different bigram, and the classes that have it (1 ordinary, 2 toxic)."""
-    known: dict = {}
-    begin = _hash(START)
+def _grams(batches):
+    """(gram, n0, n1): for each gram of the texts' words, how many pairs of an ordinary or a toxic text and a word in it have it, summed as far as they are held."""
 
-    def rows(found):
-        both = np.array([*found], np.uint64).view(np.int64)
-        return pd.DataFrame({"before": both[:, 0], "word": both[:, 1], "classes": np.fromiter(found.values(), np.int8, len(found))})
-
-    for batch in batches:
+    def rows(held):
         found: dict = {}
+        for word, (a, b) in held.items():
+            s = START + word + END
+            for i in range(1, len(s)):
+                own = found.setdefault(s[max(0, i - ORDER + 1) : i + 1], [0, 0])
+                own[0] += a
+                own[1] += b
+        counts = np.array([*found.values()], np.int64).reshape(-1, 2)
+        return pd.DataFrame({"gram": [*found], "n0": counts[:, 0], "n1": counts[:, 1]})
+
+    held: dict = {}
+    for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
-            tokens = TOKEN.findall((text or "").lower())
-            if len(known) > HELD_WORDS:
-                known.clear()
-            for t in set(tokens).difference(known):
-                known[t] = _hash(t)
-            ids = [known[t] for t in tokens]
-            for pair in set(zip([begin, *ids[:-1]], ids)):
-                found[pair] = found.get(pair, 0) | 1 << toxic
-            if len(found) > HELD_PAIRS:
-                yield rows(found)
-                found = {}
-        if found:
-            yield rows(found)
+            for word in set(TOKEN.findall((text or "").lower())):
+                held.setdefault(word, [0, 0])[toxic] += 1
+            if len(held) > HELD_WORDS:
+                yield rows(held)
+                held = {}
+    if held:
+        yield rows(held)
 
 
 def _packed(batches):
+    """The table in a few rows of bytes: grams of one length as UTF-32, and their counts."""
     for x in batches:
-        if len(x):
-            yield pd.DataFrame({"words": [x["word"].to_numpy("<i8").tobytes()], "counts": [x[["n0", "n1"]].to_numpy("<i4").tobytes()]})
-
-
-def _lean(own: np.ndarray) -> np.ndarray:
-    """Toxic minus ordinary log-probability of words with own[c] different bigrams in class c."""
-    total, n = own.sum(1, keepdims=True), own.sum(0)
-    weight = n / (n + WORD_STRENGTH) / (1 + SHARED_STRENGTH)
-    p = weight * own / total
-    shared = (1 - weight) * n / n.sum()
-    p += (1 - p.sum(1, keepdims=True)) * shared / shared.sum()
-    return np.log(p[1] / p[0])
+        size = x["gram"].str.len()
+        for n in size.unique():
+            own = x[size == n]
+            yield pd.DataFrame({"size": [int(n)], "grams": ["".join(own["gram"]).encode("utf-32-le", "surrogatepass")], "counts": [own[["n0", "n1"]].to_numpy("<i8").tobytes()]})
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Each key's sums, one for each row."""
+    _, at = np.unique(keys, return_inverse=True)
+    return [np.bincount(at, v)[at] for v in values]
+
+
+def estimate(grams: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The models' tables. grams: character codes, aligned right; sizes: their lengths; own: counts by class. Returns hashes and differences of grams and of contexts."""
+    order = grams.shape[1]
+
+    def ids(rows, length, drop=0):
+        """A number for each row's last `length` characters but the last `drop`."""
+        h = np.zeros(len(rows), np.uint64)
+        for k in range(order - length, order - drop):
+            h = h * _MULTIPLIER + rows[:, k].astype(np.uint64) + np.uint64(1)
+        return _mixed(h)
+
+    # The continuation model of both classes: of each string of k characters, how many strings of k + 1 characters end with it.
+    level, low_of = grams[sizes == order], []
+    for k in range(order - 1, 0, -1):
+        _, first, count = np.unique(ids(level, k), return_index=True, return_counts=True)
+        low_of.append((k, level[first], count.astype(float)))
+        level = np.concatenate([level[first], grams[sizes == k]])
+        level = level[np.unique(ids(level, k), return_index=True)[1]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k, rows, count in reversed(low_of):
+        if k == 1:
+            p = (count + 0.5) / (count.sum() + 0.5 * len(count))
+        else:
+            shorter_keys, shorter_p = by_length[k - 1]
+            at = np.searchsorted(shorter_keys, ids(rows, k - 1))
+            total, kinds = _sums(ids(rows, k, 1), count, np.ones(len(count)))
+            p = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * shorter_p[at]) / total
+        keys = ids(rows, k)
+        to = np.argsort(keys)
+        by_length[k] = (keys[to], p[to])
+    # Both classes' counts of a context over the continuation model one character shorter, then each class's own over that.
+    q = np.zeros(len(grams))
+    context = np.zeros(len(grams), np.uint64)
+    for n in np.unique(sizes).tolist():
+        rows = sizes == n
+        keys, p = by_length[n - 1]
+        q[rows] = p[np.searchsorted(keys, ids(grams[rows], n - 1))]
+        context[rows] = ids(grams[rows], n, 1) ^ np.uint64(n)
+    both = own.sum(0).astype(float)
+    total, kinds = _sums(context, both, np.ones(len(grams)))
+    q = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kinds * q) / total
+    logs, others = [], []
+    for n in own.astype(float):
+        total, kinds = _sums(context, n, (n > 0).astype(float))
+        free = DISCOUNT * kinds + STRENGTH
+        logs.append(np.log((np.maximum(n - DISCOUNT, 0) + free * q) / (total + STRENGTH)))
+        others.append(np.log(free / (total + STRENGTH)))
+    return logs[1] - logs[0], others[1] - others[0]
+
+
+def _table(grams: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lean, other = estimate(grams, sizes, own)
+    order = grams.shape[1]
+    flat = grams.ravel().astype(np.uint64)
+    gram, context = _hashes(flat, np.repeat(sizes, order), order)
+    gram, context = gram[order - 1 :: order], context[order - 1 :: order]
+    keys, first = np.unique(np.concatenate([gram, context]), return_index=True)
+    return keys, np.concatenate([lean, other])[first].astype(np.float32)
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(gram, n0, n1) over all of `texts` (text, toxic), by grouped aggregation."""
+    return texts.mapInPandas(_grams, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows whose fold is not 0; fold 1 calibrates, folds 2 to 4 are counted. doc_id only joins and deals."""
     from citegrain.llm.common import settle
 
-    known = _known(labels.select("doc_id", "toxic"))
-    # 16 bytes are broadcast for each counted label (about a megabyte for half a gigabyte of documents), so that no text is shuffled.
-    counted = documents.select("doc_id", "text").join(F.broadcast(known.where(fold(F.col("doc_id")) >= 2)), "doc_id").select("text", "toxic")
+    known = settle(_known(labels.select("doc_id", "toxic")))
+    counting = known.where(fold(F.col("doc_id")) >= 2)
+    few = known.count() <= BROADCAST_LABELS
+    counted = documents.select("doc_id", "text").join(F.broadcast(counting) if few else counting, "doc_id").select("text", "toxic")
     texts = settle(documents.select("doc_id", "text").join(F.broadcast(_sampled(known)), "doc_id").select("text", "toxic"))
-    pairs = counted.mapInPandas(_bigrams, "before long, word long, classes byte").groupBy("before", "word").agg(F.bit_or("classes").alias("classes"))
-    has = lambda c: F.sum(F.col("classes").bitwiseAND(F.lit(c)).cast("boolean").cast("int")).cast("int")
-    # Every counted word comes to the driver and goes to the executors, in 16 and 12 bytes.
-    packed = pairs.groupBy("word").agg(has(1).alias("n0"), has(2).alias("n1")).mapInPandas(_packed, "words binary, counts binary").collect()
+    table = settle(count_grams(counted))
     model = Model()
-    words = np.frombuffer(b"".join(r["words"] for r in packed), "<u8")
-    own = np.frombuffer(b"".join(r["counts"] for r in packed), "<i4").reshape(-1, 2).T.astype(float)
+    while model.order > 2 and table.count() > MOST_GRAMS:  # the last characters of a gram are the gram of a lower order
+        model.order -= 1
+        table = settle(table.groupBy(F.expr(f"right(gram, {model.order})").alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    packed = table.mapInPandas(_packed, "size int, grams binary, counts binary").collect()
+    sizes = np.concatenate([np.full(len(r["grams"]) // (4 * r["size"]), r["size"]) for r in packed] or [np.zeros(0, np.int64)])
+    grams = np.zeros((len(sizes), model.order), np.uint32)
+    at = 0
+    for r in packed:
+        own = np.frombuffer(r["grams"], "<u4").reshape(-1, r["size"])
+        grams[at : at + len(own), model.order - r["size"] :] = own
+        at += len(own)
+    own = np.frombuffer(b"".join(r["counts"] for r in packed), "<i8").reshape(-1, 2).T
     if not own[0].sum() or not own[1].sum():
         seen = {r["toxic"] for r in counted.unionByName(texts).select("toxic").distinct().collect()}
         model.offset = 40.0 if own[1].sum() or seen == {1} else -40.0
         return model
-    order = np.argsort(words)
-    model.keys, model.lean = words[order], _lean(own)[order].astype(np.float32)
+    model.keys, model.lean = _table(grams, sizes, own)
     _calibrate(model, texts, labels.where(fold(F.col("doc_id")) != 0).agg(F.avg("toxic")).first()[0] or 0.5)
     return model
 
@@ -161,7 +281,7 @@ def _calibrate(model: Model, texts: DataFrame, share: float) -> None:
     def measure(batches):
         m = Model(**ready.value)
         for x in batches:
-            yield pd.DataFrame({"x": [m.difference(t) for t in x["text"]], "toxic": x["toxic"].astype("int32")})
+            yield pd.DataFrame({"x": m.differences(x["text"]), "toxic": x["toxic"].astype("int32")})
 
     rows = texts.mapInPandas(measure, "x double, toxic int").toPandas()
     x, y = rows["x"].to_numpy(float), rows["toxic"].to_numpy(float)
@@ -190,15 +310,17 @@ def score_column(spark, model: Model, text: Column) -> Column:
     ready = spark.sparkContext.broadcast(model.state())
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Model(**ready.value)
-        return pd.Series([m.score(t) for t in x], dtype="float64")
+        for x in parts:
+            yield pd.Series(m.scores(x), dtype="float64")
 
     return score(text)
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    out = documents.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score_column(documents.sparkSession, model, F.col("text")).alias("score"))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
+    out = documents.select("doc_id", held_out.alias("held_out"), score_column(documents.sparkSession, model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
