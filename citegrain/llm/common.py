@@ -45,19 +45,19 @@ def clean_text(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def load_tokenizer(path: str | None = None):
-    """A tokenizer of the tokenizers library in which special tokens' strings are ordinary text; a worker that runs many tasks loads it once.
+def load_tokenizer(path: str | None = None, plain: bool = True):
+    """A tokenizer of the tokenizers library; a worker that runs many tasks loads it once.
 
-    path: a file that executors can open; None: byte_bpe_50k.json of the installed public_tokenizers."""
+    path: a file that executors can open; None: byte_bpe_50k.json of the installed public_tokenizers. plain: special tokens' strings are ordinary text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
 
     made = vars(public_tokenizers).setdefault("_made", {})
-    if ("json", path) not in made:
+    if ("json", path, plain) not in made:
         from tokenizers import Tokenizer
 
-        made["json", path] = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        made["json", path].encode_special_tokens = True
-    return made["json", path]
+        made["json", path, plain] = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        made["json", path, plain].encode_special_tokens = plain
+    return made["json", path, plain]

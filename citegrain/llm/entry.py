@@ -84,9 +84,9 @@ FROM b
 """.replace("%STOP%", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS))
 
 OP6 = r"""
-WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, coalesce(text, '') AS body FROM documents),
+WITH pages AS (SELECT row_number() OVER () AS k, coalesce(source, '') AS host, coalesce(text, '') AS body FROM documents),
 totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
-lines AS (SELECT DISTINCT host, body, unnest(string_split(body, chr(10))) AS line FROM pages),
+lines AS (SELECT DISTINCT k, host, unnest(string_split(body, chr(10))) AS line FROM pages),
 counts AS (SELECT host, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY host, line),
 boiler AS (SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n >= 5 AND n > CAST(0.02 AS DOUBLE) * pages GROUP BY host),
 cut AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS parts,

@@ -1,7 +1,8 @@
 """Site-relative line deduplication, by DataFrame functions only.
 
-A line's frequency at a host is the number of the host's pages that hold it over the number of the host's pages; pages of one text count as one page
-in both, so a page that is only copied keeps its lines. Lines with a frequency over `ratio`, on at least `least_pages` pages, are boilerplate there and go.
+A line's frequency at a host is the number of the host's pages that hold it over the number of the host's pages. Lines with a frequency over `ratio`,
+on at least `least_pages` pages, are boilerplate there and go. copies_once: pages of one text count as one page in both, so a page that is only
+copied keeps its lines.
 
 A null host is the empty host, a null text an empty page. Lines without a word always stay, as do the line breaks around what stays. Lines are
 told apart by 64-bit hashes. Repeated documents are cleaned each; empty tables give no row; columns that are not asked for are kept as they are.
@@ -27,24 +28,24 @@ def _has_word(line: Column) -> Column:
     return F.regexp_replace(line, SPACE, "") != ""
 
 
-def boilerplate(documents: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(documents: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """(host, lines): the hashes of each host's boilerplate. A host has at most its mean number of lines per page over `ratio` of them."""
     body = clean_text(text)
     pages = documents.select(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.struct(F.xxhash64(body).alias("x"), F.crc32(body.cast("binary")).alias("c"), F.length(body).alias("n")).alias("page"),
         F.array_distinct(F.transform(F.filter(_lines(body), _has_word), lambda x: F.xxhash64(x))).alias("lines"),
-    ).dropDuplicates(["host", "page"])
-    pages = settle(pages.select("host", "lines"))
+    )
+    pages = settle((pages.dropDuplicates(["host", "page"]) if copies_once else pages).select("host", "lines"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     frequent = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(documents: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: tuple[str, str] | None = None) -> DataFrame:
+def drop_boilerplate(documents: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: tuple[str, str] | None = None, copies_once: bool = False) -> DataFrame:
     """The documents with their boilerplate lines dropped from `text`; counts: names of columns for the numbers of lines and of lines dropped."""
-    found = settle(boilerplate(documents, host, text, ratio, least_pages))
+    found = settle(boilerplate(documents, host, text, ratio, least_pages, copies_once))
     size = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     names = [c for c in documents.columns]
     row = F.struct(*[F.col(c) for c in names])

@@ -99,21 +99,23 @@ def assign(lengths, capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int,
     return pieces, sizes
 
 
-#: Texts of more characters than this are encoded by the tokenizers library, which keeps no stack for a long run of spaces.
+#: The one special token of the default file: its string in a text is that token, as the tokenizers library reads it.
+SPECIAL = {"<|endoftext|>": 50256}
+#: Texts of more characters than this are encoded by the tokenizers library, whose stack does not grow with a run of spaces. The ids are the same.
 LONG_TEXT = 1_000_000
 
 
 def _encoder(path: str | None):
-    """Texts to arrays of ids, as tokenizers encodes them with add_special_tokens=False, special tokens' strings being ordinary text.
+    """Texts to arrays of ids, as tokenizers encodes them with add_special_tokens=False.
 
-    byte_bpe_50k.json has the same vocabulary as byte_bpe_50k.tiktoken; the ranks give the same ids (a test compares them) in a
+    byte_bpe_50k.json has the same vocabulary as byte_bpe_50k.tiktoken; the ranks give the same ids (tests compare them) in a
     quarter of the time, so the default reads those. Any other file is read by tokenizers."""
     import public_tokenizers
 
     made = vars(public_tokenizers).setdefault("_made", {})  # a worker that runs many tasks reads the files once
 
     def slow(text: str) -> np.ndarray:
-        return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(load_tokenizer(path, plain=False).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     if path:
         return slow
@@ -124,9 +126,9 @@ def _encoder(path: str | None):
 
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        made["ranks"] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        made["ranks"] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     quick = made["ranks"]
-    return lambda t: slow(t) if len(t) > LONG_TEXT else np.array(quick.encode_ordinary(t), dtype="<u4")
+    return lambda t: slow(t) if len(t) > LONG_TEXT else np.array(quick.encode(t, allowed_special="all"), dtype="<u4")
 
 
 def _packer(path: str | None, capacity: int, end_id: int, buffer_tokens: int):

@@ -51,15 +51,15 @@ def fingerprint_words(words: list[bytes], shingle: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp): texts in lower case (A to Z only). distinct: each different shingle counts once."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp): texts in lower case (A to Z only)."""
 
     def run(batches):
         for batch in batches:
             out = np.zeros(len(batch), np.uint64)
             for i, text in enumerate(batch["text"]):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
-                out[i] = fingerprint_words([*dict.fromkeys(words)] if distinct else words, shingle)
+                out[i] = fingerprint_words(words, shingle)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": out.view(np.int64)})
 
     return documents.select(F.col("doc_id").cast("long"), clean_text().alias("text")).mapInPandas(run, "doc_id long, fp long")
@@ -281,58 +281,105 @@ def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 
 #: Near-duplicates of texts: fingerprints of the different words, in which one changed word moves few bits, propose pairs within
 #: this many bits; five-word shingles decide.
-WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 8, 5, 0.8
+WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 12, 5, 0.8
+#: Rows of two longs that may be broadcast to the documents, so that no text is shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 22
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df is settled; it is broadcast if it is known to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """The documents with a doc_id, as (doc_id, id, text): id is a non-negative hash of the text."""
+    body = clean_text()
+    text_id = F.xxhash64(F.md5(body.cast("binary"))).bitwiseAND(F.lit((1 << 63) - 1))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_id.alias("id"), body.alias("text")).where("doc_id is not null")
+
+
+def _prints(batches):
+    for batch in batches:
+        out = np.fromiter((fingerprint_words([*dict.fromkeys(t.encode("utf-8", "surrogatepass").lower().split())], 1) for t in batch["text"]), np.uint64, len(batch))
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": out.view(np.int64)})
+
+
+def _shingle_sets(shingle: int):
+    """The 32-bit hashes of a text's different word shingles; a text of fewer words has one of them all."""
+
+    def run(batches):
+        import xxhash
+
+        known: dict = {}
+        for batch in batches:
+            sets = []
+            for text in batch["text"]:
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                if len(known) > 1 << 18:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = xxhash.xxh64_intdigest(w)
+                own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                n = max(1, len(own) - shingle + 1)
+                h = np.zeros(n, np.uint64)
+                for k in range(min(shingle, len(own))):
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame({"id": batch["id"], "set": sets})
+
+    return run
 
 
 def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows (doc_id, text_id, least) has every document's text class and its least doc_id; found (a, b) are links between the least
-    doc_ids of classes whose sets of word shingles have a Jaccard similarity of at least `similarity`.
+    """(classes, found): classes (id, least, copies) has a row for each different text, its least doc_id and how many rows have both; found (a, b) are
+    links between ids of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Equal texts are one class. Each class is verified against its nearest candidates before and after it over all groups of fingerprints; then all
+    Each class is verified against its nearest candidates before and after it over all groups of fingerprints; then all
     candidates are that these links do not join. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
-    body = clean_text()
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(body, 256).alias("text_id"), body.alias("text")).where("doc_id is not null")
-    rows = settle(keyed.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    least = rows.select(F.col("least").alias("doc_id")).distinct()
-    first = documents.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).join(least, "doc_id", "left_semi")
-    prints = settle(fingerprints(first, 1, distinct=True))
-    proposed = settle(links(prints.select(F.col("doc_id").alias("id"), "fp"), radius, nearest=True))
-    before = Window.partitionBy("b").orderBy("apart", "a")
-    after = Window.partitionBy("a").orderBy("apart", "b")
-    chosen = proposed.withColumn("x", F.row_number().over(before)).withColumn("y", F.row_number().over(after)).where("x = 1 or y = 1").select("a", "b")
-    chosen = settle(chosen)
-    ends = chosen.select(F.col("a").alias("doc_id")).unionByName(chosen.select(F.col("b").alias("doc_id"))).distinct()
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    n = F.size("hashes")
-    window = lambda i: F.hash(*[F.get("hashes", i + k) for k in range(shingle)])
-    sets = first.join(ends, "doc_id").select("doc_id", words.alias("words")).select("doc_id", hashes.alias("hashes"))
-    sets = sets.select("doc_id", F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0))), window)).alias("set"))
-    sets = settle(sets)
+    keyed = _keyed(documents)
+    rows = settle(keyed.mapInPandas(_prints, "doc_id long, id long, fp long").groupBy("id", "doc_id").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    first = F.min(F.struct("doc_id", "copies", "fp"))
+    classes = settle(rows.groupBy("id").agg(first.alias("first")).select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), F.col("first.fp").alias("fp")))
+    proposed = settle(links(classes.select("id", "fp"), radius, nearest=True))
+    before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
+    after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
+    chosen = settle(before.unionByName(after).distinct())
+    ends = chosen.select(F.col("a").alias("id")).unionByName(chosen.select(F.col("b").alias("id"))).distinct()
+    wanted = settle(classes.select("id", F.col("least").alias("doc_id")).join(ends, "id"))
+    texts = keyed.join(_small(wanted), ["doc_id", "id"])
+    sets = settle(texts.select("id", "text").mapInPandas(_shingle_sets(shingle), "id long, set array<int>").dropDuplicates(["id"]))
 
     def alike(pairs: DataFrame) -> DataFrame:
-        paired = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right")), "b")
+        paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
         both = F.size(F.array_intersect("left", "right"))
         return settle(paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b"))
 
     found = alike(chosen)
-    joined = components(found).select(F.col("node").alias("doc_id"), "label")
-    apart = prints.join(sets.select("doc_id", F.size("set").alias("size")), "doc_id").join(joined, "doc_id", "left")
-    apart = settle(apart.select(F.col("doc_id").alias("id"), "fp", F.coalesce("label", "doc_id").alias("label"), "size"))
+    joined = components(found).select(F.col("node").alias("id"), "label")
+    apart = classes.select("id", "fp").join(sets.select("id", F.size("set").alias("size")), "id").join(joined, "id", "left")
+    apart = settle(apart.select("id", "fp", F.coalesce("label", "id").alias("label"), "size"))
     rest = links(apart, radius, unlike=similarity).select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    return rows, found.unionByName(alike(rest))
+    return classes.select("id", "least", "copies"), found.unionByName(alike(rest))
 
 
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id, with all its columns. Documents without a doc_id stay;
-    of rows that repeat a doc_id with the same text one stays."""
-    rows, found = near_links(documents, **how)
+    of rows that repeat a doc_id with the same text the one stays that comes first as JSON."""
+    classes, found = near_links(documents, **how)
     groups = components(found)
-    ids = rows.join(groups.select(F.col("node").alias("least"), "label"), "least", "left")
-    stay = ids.where("label is null or label = least").select(F.col("least").alias("stay_id"), F.col("text_id").alias("stay_text"))
-    row = F.struct(*[F.col(c) for c in documents.columns])
-    held = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(clean_text(), 256).alias("text_id"))
-    matched = held.join(stay, (F.col("doc_id") == F.col("stay_id")) & (F.col("text_id") == F.col("stay_text")), "left_semi")
-    # Rows that repeat both id and text are few of one key; they are told apart by position within it.
-    single = matched.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "text_id").orderBy(F.lit(0)))).where("n = 1").select("row.*")
+    placed = classes.join(groups.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # of a group's texts that share the smallest doc_id (rows may repeat one) the one of least id stays
+    heads = placed.groupBy("label").agg(F.min(F.struct("least", "id", "copies")).alias("head")).select("head.*")
+    stay = settle(heads.select(F.col("least").alias("stay_id"), F.col("id").alias("stay_text"), "copies"))
+    doc_id, text_id = F.col("doc_id").cast("long"), F.xxhash64(F.md5(clean_text().cast("binary"))).bitwiseAND(F.lit((1 << 63) - 1))
+    own = (doc_id == F.col("stay_id")) & (text_id == F.col("stay_text"))
+    single = documents.join(_small(stay.select("stay_id", "stay_text")), own, "left_semi")
+    again = settle(stay.where("copies > 1").select("stay_id", "stay_text"))
+    if again.limit(1).count():
+        names = documents.columns
+        row = F.struct(*[F.col(c) for c in names])
+        held = documents.join(_small(again), own, "left_semi").select(row.alias("row"), doc_id.alias("key"), text_id.alias("text_key"))
+        first = held.withColumn("n", F.row_number().over(Window.partitionBy("key", "text_key").orderBy(F.to_json("row")))).where("n = 1").select("row.*")
+        single = single.join(_small(again), own, "left_anti").unionByName(first)
     return single.unionByName(documents.where("doc_id is null"))

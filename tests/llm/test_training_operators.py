@@ -5,6 +5,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -209,13 +210,28 @@ def test_packing_balances_cost():
     assert len(sizes) == 6 and max(costs.values()) < 2 * min(costs.values())
 
 
-@given(st.text(max_size=300))
-@settings(max_examples=200, deadline=None)
+ODD_TEXT = st.lists(st.one_of(st.text(max_size=40), st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " " * 70, "\n" * 9, "\u00a0\u2003", "e\u0301", "\u200d\U0001f469", "'ll", "don't 12345"])), max_size=8).map("".join)
+
+
+@given(ODD_TEXT)
+@settings(max_examples=300, deadline=None)
 def test_ids_are_those_of_the_tokenizer(text):
+    """Of the contract's own call, which the module's loader has no part in."""
+    assert packing._encoder(None)(text).tolist() == contract_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@cache
+def contract_tokenizer():
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
 
-    slow, quick = packing._encoder(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(None)
-    assert quick(text).tolist() == slow(text).tolist()
+@pytest.mark.parametrize("size", [packing.LONG_TEXT - 20, packing.LONG_TEXT + 20])
+def test_ids_of_long_texts(size):
+    text = ("Some words, 12 of them; <|endoftext|> é😀 \n\t " * (size // 40 + 1))[:size]
+    assert packing._encoder(None)(text).tolist() == contract_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @needs_tables
@@ -264,8 +280,11 @@ def test_sparse_sites_shrink(spark):
 
 def test_boilerplate_needs_pages(spark):
     rows = [(i, f"menu home about\nown line {i} of the page\n\nfooter {i % 40}", "h") for i in range(60)] + [(100, "lone page", "g"), (101, "copied page", "c")] + [(200 + i, "copied page", "c") for i in range(50)]
-    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    pages = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(pages, copies_once=True).collect()}
     assert out[7] == "own line 7 of the page\n\nfooter 7" and out[100] == "lone page" and out[101] == "copied page"
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(pages).collect()}
+    assert out[7] == "own line 7 of the page\n\nfooter 7" and out[100] == "lone page" and out[101] == ""
 
 
 def test_salted_lines_equal_broadcast_ones(spark, monkeypatch):
