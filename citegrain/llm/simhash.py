@@ -26,10 +26,12 @@ from citegrain.llm.components import components
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 4, 4
-#: Fingerprints that the plan is estimated on, and the relative costs of a probed row and a verified candidate.
-SAMPLE, ROW_COST, PAIR_COST = 2048, 1.0, 0.01
+#: Fingerprints that the plan is estimated on, and the relative costs of a probed row (which is shuffled) and a verified candidate (a few machine instructions).
+SAMPLE, ROW_COST, PAIR_COST = 2048, 1.0, 0.001
 #: A value's group of more fingerprints than this is split into blocks of about half as many.
 GROUP = 16_384
+#: Pairs of rows that a task lays out at once.
+PAIRS = 1 << 19
 
 
 def fingerprint_words(words: list[bytes], shingle: int) -> int:
@@ -159,60 +161,61 @@ def _groups(batches, columns):
         yield held
 
 
+def _meetings(gid, probe, fps, radius: int, able=None):
+    """(i, j, apart): rows of a group within the radius of which one at least is at its own value; those come first in a group. A bounded number of
+    pairs is laid out at once. able: tells from i and j which pairs are worth a look."""
+    n = len(gid)
+    own = np.flatnonzero(probe == 0)
+    last = np.append(np.flatnonzero(gid[1:] != gid[:-1]), n - 1)
+    count = last[np.searchsorted(last, own)] - own
+    done = np.cumsum(count)
+    cuts = np.searchsorted(done, np.arange(PAIRS, int(done[-1]) + PAIRS if len(done) else 0, PAIRS), "right")
+    for a, b in zip(np.append(0, cuts), np.append(cuts, len(own))):
+        rows, size = own[a:b], count[a:b]
+        if not size.sum():
+            continue
+        i = np.repeat(rows, size)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        if able is not None:
+            worth = able(i, j)
+            i, j = i[worth], j[worth]
+        apart = np.bitwise_count(fps[i] ^ fps[j])
+        near = apart <= radius
+        yield i[near], j[near], apart[near].astype(np.int64)
+
+
 def _forest(radius: int, nearest: bool):
     """Links within each group. By default a spanning forest: each fingerprint with the least one that it reaches in its group. nearest: each
     with its nearest predecessor and its nearest successor by id, and the bits they differ in."""
 
     def run(batches):
         for gid, probe, fps, ids in _groups(batches, ["gid", "probe", "fp", "id"]):
-            fps = fps.view(np.uint64)
-            largest, n = int(np.unique(gid, return_counts=True)[1].max()), len(gid)
+            fps, n = fps.view(np.uint64), len(gid)
             if nearest:
-                below, above = (np.full(n, 127, np.int8) for _ in range(2))
-                to_below, to_above = (np.full(n, -1, np.int64) for _ in range(2))
-            label = np.arange(n)
-            live = np.arange(n)
-            pairs = []
-            for step in range(1, largest):
-                live = live[live + step < n]
-                live = live[gid[live] == gid[live + step]]
-                i, j = live, live + step
-                apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int8)
-                near = (apart <= radius) & ((probe[i] == 0) | (probe[j] == 0)) & (ids[i] != ids[j])
-                i, j, apart = i[near], j[near], apart[near]
-                if nearest:
-                    for turned in (ids[i] > ids[j], ids[i] < ids[j]):  # in each half a row is on a side once
-                        x, y, d = i[turned], j[turned], apart[turned]
-                        lo, hi = (y, x) if len(x) and ids[x[0]] > ids[y[0]] else (x, y)
-                        better = d < below[hi]
-                        below[hi[better]], to_below[hi[better]] = d[better], ids[lo[better]]
-                        better = d < above[lo]
-                        above[lo[better]], to_above[lo[better]] = d[better], ids[hi[better]]
-                elif len(i):
-                    pairs.append(step)
-                    least = np.minimum(label[i], label[j])
-                    np.minimum.at(label, i, least)
-                    np.minimum.at(label, j, least)
-            if nearest:
-                b, a = to_below >= 0, to_above >= 0
-                yield pd.DataFrame({"a": np.concatenate([to_below[b], ids[a]]), "b": np.concatenate([ids[b], to_above[a]]), "apart": np.concatenate([below[b], above[a]])}).drop_duplicates()
+                none = np.iinfo(np.int64).max
+                below, above = np.full(n, none), np.full(n, none)
+                for i, j, apart in _meetings(gid, probe, fps, radius, lambda i, j: ids[i] != ids[j]):
+                    turned = ids[i] > ids[j]
+                    lo, hi = np.where(turned, j, i), np.where(turned, i, j)
+                    np.minimum.at(below, hi, apart * n + lo)
+                    np.minimum.at(above, lo, apart * n + hi)
+                b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
+                pairs = {"a": [ids[below[b] % n], ids[a]], "b": [ids[b], ids[above[a] % n]], "apart": [below[b] // n, above[a] // n]}
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int8}).drop_duplicates()
                 continue
+            label = np.arange(n)
             changed = True
             while changed:  # until no link joins two labels
                 changed = False
-                for step in pairs:
-                    i = np.arange(n - step)
-                    i = i[gid[i] == gid[i + step]]
-                    j = i + step
-                    near = (np.bitwise_count(fps[i] ^ fps[j]) <= radius) & ((probe[i] == 0) | (probe[j] == 0))
-                    i, j = i[near], j[near]
-                    least = np.minimum(label[i], label[j])
-                    if (label[i] != label[j]).any():
+                for i, j, _ in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
+                    if len(i):
                         changed = True
+                        least = np.minimum(label[i], label[j])
                         np.minimum.at(label, i, least)
                         np.minimum.at(label, j, least)
+                        np.minimum.at(label, label[i], least)
             own = label != np.arange(n)
-            yield pd.DataFrame({"a": ids[label[own]], "b": ids[own], "apart": np.int8(0)}).drop_duplicates()
+            yield pd.DataFrame({"a": ids[label[own]], "b": ids[own], "apart": np.int8(0)}).query("a != b").drop_duplicates()
 
     return run
 
@@ -228,19 +231,12 @@ def _unlike(radius: int, ratio: float):
             mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)  # a group of one label has nothing to verify
             keep = mixed[np.cumsum(new) - 1]
             gid, probe, fps, ids, label, size = (x[keep] for x in (gid, probe, fps, ids, label, size))
-            live, step = np.arange(len(gid)), 1
-            while len(live):
-                live = live[live + step < len(gid)]
-                live = live[gid[live] == gid[live + step]]
-                i, j = live, live + step
-                near = (label[i] != label[j]) & ((probe[i] == 0) | (probe[j] == 0)) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
-                i, j = i[near], j[near]
-                apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int8)
-                near = apart <= radius
-                i, j = i[near], j[near]
+            if not len(gid):
+                continue
+            able = lambda i, j: (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
+            for i, j, apart in _meetings(gid, probe, fps, radius, able):
                 if len(i):
-                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart[near]})
-                step += 1
+                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart.astype(np.int8)})
 
     return run
 
@@ -264,7 +260,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: f
         rows = rows.withColumn("gid", F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")))
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
-    dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe")
+    dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
     return dealt.mapInPandas(_forest(radius, nearest) if unlike is None else _unlike(radius, unlike), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
@@ -281,7 +277,7 @@ def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 
 #: Near-duplicates of texts: fingerprints of the different words, in which one changed word moves few bits, propose pairs within
 #: this many bits; five-word shingles decide.
-WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 12, 5, 0.8
+WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 11, 5, 0.8
 #: Rows of two longs that may be broadcast to the documents, so that no text is shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 22
 
