@@ -35,6 +35,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed(run):
+    """`run`, a function over batches, that gives the memory it has freed back to the system when a task ends: workers are used again by later
+    stages, and what the C library keeps would add up over them."""
+
+    def wrapped(batches):
+        import ctypes
+
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def partitions(df: DataFrame) -> int:
     """How many ways a shuffle by a key is dealt."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import load_tokenizer
+from citegrain.llm.common import load_tokenizer, trimmed
 
 CAPACITY, END_ID = 2048, 1
 #: Attention cost of a piece: projections grow with its length, attention scores with its square.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Tokens that a task holds before it packs them: 64 MB at four bytes each.
-BUFFER_TOKENS = 1 << 23
+#: Tokens that a task holds before it packs them: 16 MB at four bytes each.
+BUFFER_TOKENS = 1 << 22
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long"
 
@@ -140,8 +140,8 @@ def _packer(path: str | None, capacity: int, end_id: int, buffer_tokens: int):
         def flush(names, tokens):
             nonlocal done
             pieces, sizes = assign([len(t) for t in tokens], capacity)
-            for at in range(0, len(pieces), 20_000):
-                d, s, n, q, o = zip(*pieces[at : at + 20_000])
+            for at in range(0, len(pieces), 10_000):
+                d, s, n, q, o = zip(*pieces[at : at + 10_000])
                 yield pd.DataFrame({
                     "doc_id": pd.array([names[i] for i in d], dtype="Int64"), "start": s, "length": n, "ids": [tokens[i][a : a + b].tobytes() for i, a, b in zip(d, s, n)],
                     "doc_tokens": [len(tokens[i]) for i in d], "sequence_id": [base + done + k for k in q], "offset": o, "capacity": [sizes[k] for k in q],
@@ -170,7 +170,7 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, capacity:
     """One row per piece, with its token ids as little-endian unsigned 32-bit integers in `ids` and its sequence's size in `capacity`.
 
     tokenizer: path of a tokenizer file that executors can open; None: byte_bpe_50k.json of the installed public_tokenizers."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(tokenizer, capacity, end_id, buffer_tokens), PIECES)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(trimmed(_packer(tokenizer, capacity, end_id, buffer_tokens)), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import clean_text, partitions, settle
+from citegrain.llm.common import clean_text, partitions, settle, trimmed
 from citegrain.llm.components import components
 
 BITS, SEED = 64, 42
@@ -251,7 +251,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: f
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, total, radius)
-    rows = fps.select("id", "fp", *more).mapInPandas(_probes(parts), ", ".join(["part int, value long, probe byte, fp long, id long", *(f"{c} {kind}" for c, kind in more.items())]))
+    rows = fps.select("id", "fp", *more).mapInPandas(trimmed(_probes(parts)), ", ".join(["part int, value long, probe byte, fp long, id long", *(f"{c} {kind}" for c, kind in more.items())]))
     # Hot values: at most one in GROUP rows, known before the rows are dealt.
     hot = settle(rows.groupBy("part", "value").count().where(F.col("count") > GROUP).select("part", "value", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")))
     if hot.limit(1).count():
@@ -261,7 +261,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: f
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
     dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
-    return dealt.mapInPandas(_forest(radius, nearest) if unlike is None else _unlike(radius, unlike), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    return dealt.mapInPandas(trimmed(_forest(radius, nearest) if unlike is None else _unlike(radius, unlike)), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -334,7 +334,7 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     Each class is verified against its nearest candidates before and after it over all groups of fingerprints; then all
     candidates are that these links do not join. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     keyed = _keyed(documents)
-    rows = settle(keyed.mapInPandas(_prints, "doc_id long, id long, fp long").groupBy("id", "doc_id").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    rows = settle(keyed.mapInPandas(trimmed(_prints), "doc_id long, id long, fp long").groupBy("id", "doc_id").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
     first = F.min(F.struct("doc_id", "copies", "fp"))
     classes = settle(rows.groupBy("id").agg(first.alias("first")).select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), F.col("first.fp").alias("fp")))
     proposed = settle(links(classes.select("id", "fp"), radius, nearest=True))
@@ -344,7 +344,7 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     ends = chosen.select(F.col("a").alias("id")).unionByName(chosen.select(F.col("b").alias("id"))).distinct()
     wanted = settle(classes.select("id", F.col("least").alias("doc_id")).join(ends, "id"))
     texts = keyed.join(_small(wanted), ["doc_id", "id"])
-    sets = settle(texts.select("id", "text").mapInPandas(_shingle_sets(shingle), "id long, set array<int>").dropDuplicates(["id"]))
+    sets = settle(texts.select("id", "text").mapInPandas(trimmed(_shingle_sets(shingle)), "id long, set array<int>").dropDuplicates(["id"]))
 
     def alike(pairs: DataFrame) -> DataFrame:
         paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")

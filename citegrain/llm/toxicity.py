@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrain.llm.common import settle, trimmed
+
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled texts for each class in the calibration, part of the model's definition. All others are counted.
 FIT_ROWS = 2000
@@ -37,7 +39,7 @@ MOST_GRAMS = 1 << 22
 #: Labels, 16 bytes each, that may be broadcast to the documents; more are joined by a shuffle of what is labelled.
 BROADCAST_LABELS = 1 << 22
 #: Different words held before their grams are sent on, and words whose differences a model remembers.
-HELD_WORDS, KNOWN_WORDS = 100_000, 1 << 18
+HELD_WORDS, KNOWN_WORDS = 40_000, 1 << 16
 START, END = "\x02", "\x03"
 
 _MULTIPLIER, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -140,21 +142,21 @@ def _grams(batches):
     """(gram, n0, n1): for each gram of the texts' words, how many pairs of an ordinary or a toxic text and a word in it have it, summed as far as they are held."""
 
     def rows(held):
-        found: dict = {}
-        for word, (a, b) in held.items():
+        found: dict = {}  # both counts in one number, the toxic one above 32 bits
+        for word, n in held.items():
             s = START + word + END
             for i in range(1, len(s)):
-                own = found.setdefault(s[max(0, i - ORDER + 1) : i + 1], [0, 0])
-                own[0] += a
-                own[1] += b
-        counts = np.array([*found.values()], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"gram": [*found], "n0": counts[:, 0], "n1": counts[:, 1]})
+                g = s[max(0, i - ORDER + 1) : i + 1]
+                found[g] = found.get(g, 0) + n
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        return pd.DataFrame({"gram": [*found], "n0": counts & 0xFFFFFFFF, "n1": counts >> 32})
 
     held: dict = {}
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
+            one = 1 << 32 if toxic else 1
             for word in set(TOKEN.findall((text or "").lower())):
-                held.setdefault(word, [0, 0])[toxic] += 1
+                held[word] = held.get(word, 0) + one
             if len(held) > HELD_WORDS:
                 yield rows(held)
                 held = {}
@@ -239,13 +241,11 @@ def _table(grams: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> tuple[np.nd
 
 def count_grams(texts: DataFrame) -> DataFrame:
     """(gram, n0, n1) over all of `texts` (text, toxic), by grouped aggregation."""
-    return texts.mapInPandas(_grams, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return texts.mapInPandas(trimmed(_grams), "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows whose fold is not 0; fold 1 calibrates, folds 2 to 4 are counted. doc_id only joins and deals."""
-    from citegrain.llm.common import settle
-
     known = settle(_known(labels.select("doc_id", "toxic")))
     counting = known.where(fold(F.col("doc_id")) >= 2)
     few = known.count() <= BROADCAST_LABELS
@@ -309,12 +309,15 @@ def score_column(spark, model: Model, text: Column) -> Column:
     """The score of a text column, from 0 to 1."""
     ready = spark.sparkContext.broadcast(model.state())
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(parts):
         m = Model(**ready.value)
         for x in parts:
             yield pd.Series(m.scores(x), dtype="float64")
 
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from trimmed(scored)(parts)
+
     return score(text)
 
 
