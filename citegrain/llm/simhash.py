@@ -124,8 +124,9 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
-#: What links() is told of each fingerprint to pass over pairs that need no verification: its component so far, and its set's size.
-UNLIKE = {"label": "long", "size": "int"}
+#: What links() may be told of each fingerprint's text, to pass over pairs that need no verification: a sketch of its set of shingles, the set's size and
+#: the text's component so far.
+TOLD = {"sketch": "long", "size": "int", "label": "long"}
 
 
 def _probes(parts):
@@ -138,7 +139,7 @@ def _probes(parts):
             for k, (group, threshold) in enumerate(parts):
                 own = bits[:, group] @ (1 << np.arange(len(group), dtype=np.int64))
                 for mask in _ball(len(group), threshold):
-                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids} | {c: batch[c] for c in UNLIKE if c in batch})
+                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids} | {c: batch[c] for c in TOLD if c in batch})
 
     return run
 
@@ -162,7 +163,7 @@ def _groups(batches, columns):
 
 
 def _meetings(gid, probe, fps, radius: int, able=None):
-    """(i, j, apart): rows of a group within the radius of which one at least is at its own value; those come first in a group. A bounded number of
+    """(i, j): rows of a group within the radius of which one at least is at its own value; those come first in a group. A bounded number of
     pairs is laid out at once. able: tells from i and j which pairs are worth a look."""
     n = len(gid)
     own = np.flatnonzero(probe == 0)
@@ -181,33 +182,20 @@ def _meetings(gid, probe, fps, radius: int, able=None):
             i, j = i[worth], j[worth]
         apart = np.bitwise_count(fps[i] ^ fps[j])
         near = apart <= radius
-        yield i[near], j[near], apart[near].astype(np.int64)
+        yield i[near], j[near]
 
 
-def _forest(radius: int, nearest: bool):
-    """Links within each group. By default a spanning forest: each fingerprint with the least one that it reaches in its group. nearest: each
-    with its nearest predecessor and its nearest successor by id, and the bits they differ in."""
+def _forest(radius: int):
+    """Links within each group: a spanning forest, each fingerprint with the least one that it reaches in its group."""
 
     def run(batches):
         for gid, probe, fps, ids in _groups(batches, ["gid", "probe", "fp", "id"]):
             fps, n = fps.view(np.uint64), len(gid)
-            if nearest:
-                none = np.iinfo(np.int64).max
-                below, above = np.full(n, none), np.full(n, none)
-                for i, j, apart in _meetings(gid, probe, fps, radius, lambda i, j: ids[i] != ids[j]):
-                    turned = ids[i] > ids[j]
-                    lo, hi = np.where(turned, j, i), np.where(turned, i, j)
-                    np.minimum.at(below, hi, apart * n + lo)
-                    np.minimum.at(above, lo, apart * n + hi)
-                b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
-                pairs = {"a": [ids[below[b] % n], ids[a]], "b": [ids[b], ids[above[a] % n]], "apart": [below[b] // n, above[a] // n]}
-                yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int8}).drop_duplicates()
-                continue
             label = np.arange(n)
             changed = True
             while changed:  # until no link joins two labels
                 changed = False
-                for i, j, _ in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
+                for i, j in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
                     if len(i):
                         changed = True
                         least = np.minimum(label[i], label[j])
@@ -220,33 +208,62 @@ def _forest(radius: int, nearest: bool):
     return run
 
 
+def _alike(sketch, size, ratio: float, i, j):
+    """Which pairs may have a Jaccard similarity of `ratio` by their sizes and sketches, and how many bits their sketches differ in."""
+    apart = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).astype(np.int64)
+    return (apart <= SKETCH_RADIUS) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])), apart
+
+
+def _nearest(radius: int, ratio: float):
+    """Of the candidates within each group, each one's nearest predecessor and its nearest successor by id, and the bits their sketches differ in."""
+
+    def run(batches):
+        for gid, probe, fps, ids, sketch, size in _groups(batches, ["gid", "probe", "fp", "id", "sketch", "size"]):
+            fps, n, none = fps.view(np.uint64), len(gid), np.iinfo(np.int64).max
+            below, above = np.full(n, none), np.full(n, none)
+            for i, j in _meetings(gid, probe, fps, radius, lambda i, j: ids[i] != ids[j]):
+                may, apart = _alike(sketch, size, ratio, i, j)
+                i, j, apart = i[may], j[may], apart[may]
+                turned = ids[i] > ids[j]
+                lo, hi = np.where(turned, j, i), np.where(turned, i, j)
+                np.minimum.at(below, hi, apart * n + lo)
+                np.minimum.at(above, lo, apart * n + hi)
+            b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
+            pairs = {"a": [ids[below[b] % n], ids[a]], "b": [ids[b], ids[above[a] % n]], "apart": [below[b] // n, above[a] // n]}
+            yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int8}).drop_duplicates()
+
+    return run
+
+
 def _unlike(radius: int, ratio: float):
-    """All pairs within the radius whose labels differ and whose sizes allow a Jaccard similarity of `ratio`."""
+    """All candidates within each group whose labels differ."""
 
     def run(batches):
-        for gid, probe, fps, ids, label, size in _groups(batches, ["gid", "probe", "fp", "id", *UNLIKE]):
+        for gid, probe, fps, ids, sketch, size, label in _groups(batches, ["gid", "probe", "fp", "id", *TOLD]):
             fps = fps.view(np.uint64)
             new = np.append(True, gid[1:] != gid[:-1])
             at = np.flatnonzero(new)
             mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)  # a group of one label has nothing to verify
             keep = mixed[np.cumsum(new) - 1]
-            gid, probe, fps, ids, label, size = (x[keep] for x in (gid, probe, fps, ids, label, size))
+            gid, probe, fps, ids, sketch, size, label = (x[keep] for x in (gid, probe, fps, ids, sketch, size, label))
             if not len(gid):
                 continue
-            able = lambda i, j: (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
-            for i, j, apart in _meetings(gid, probe, fps, radius, able):
+            for i, j in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
+                may, apart = _alike(sketch, size, ratio, i, j)
+                i, j = i[may], j[may]
                 if len(i):
-                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart.astype(np.int8)})
+                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart[may].astype(np.int8)})
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: float | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> DataFrame:
     """(a, b, apart) between the ids of `fps` (id, fp): enough of the links within `radius` bits to join the same components in each group.
 
-    fps is read more than once and so is best settled. With nearest=True ids must be non-negative.
-    unlike: all links between different labels whose sizes have at least this ratio; fps also has `label` and `size`."""
-    more = {} if unlike is None else UNLIKE
+    fps is read more than once and so is best settled. ratio: fps also has `sketch` and `size`, ids are not negative, and links are candidates for
+    this similarity: each row's nearest ones before and after it by sketch, or, if fps has a `label` too, all between different labels."""
+    more = {c: kind for c, kind in TOLD.items() if c in fps.columns}
+    how = _forest(radius) if ratio is None else _unlike(radius, ratio) if "label" in more else _nearest(radius, ratio)
     total = fps.count()
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -261,7 +278,7 @@ def links(fps: DataFrame, radius: int = RADIUS, nearest: bool = False, unlike: f
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
     dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
-    return dealt.mapInPandas(trimmed(_forest(radius, nearest) if unlike is None else _unlike(radius, unlike)), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    return dealt.mapInPandas(trimmed(how), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -278,6 +295,9 @@ def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 #: Near-duplicates of texts: fingerprints of the different words, in which one changed word moves few bits, propose pairs within
 #: this many bits; five-word shingles decide.
 WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 11, 5, 0.8
+#: Bits that the sketches of two texts may differ in to be candidates: at the similarity 0.8 they differ in 6.4 of 64, with a standard deviation of 2.4.
+SKETCH_RADIUS = 16
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 62, BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of two longs that may be broadcast to the documents, so that no text is shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 22
 
@@ -294,34 +314,55 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_id.alias("id"), body.alias("text")).where("doc_id is not null")
 
 
-def _prints(batches):
-    for batch in batches:
-        out = np.fromiter((fingerprint_words([*dict.fromkeys(t.encode("utf-8", "surrogatepass").lower().split())], 1) for t in batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": out.view(np.int64)})
+def shingle_hashes(words: list[bytes], shingle: int, known: dict) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; fewer words have one of them all. known: the words' hashes so far."""
+    import xxhash
+
+    if len(known) > 1 << 17:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(own) - shingle + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(own))):
+        h = (h ^ (h >> np.uint64(31))) * _SALTS[0] + own[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * _SALTS[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def sketch(hashes: np.ndarray) -> int:
+    """64 bits, one of the least value of each of 64 hash functions over the set: two sets' sketches differ in about (1 - Jaccard similarity) / 2 of them."""
+    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        x = hashes[at : at + 2048, None] * _SALTS
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    return int(np.packbits(((least * _SALTS[0]) >> np.uint64(40) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")[0])
+
+
+def _prints(shingle: int):
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            fps, sketches, sizes = (np.zeros(len(batch), np.uint64) for _ in range(3))
+            for k, text in enumerate(batch["text"]):
+                words = text.encode("utf-8", "surrogatepass").lower().split()
+                hashes = np.unique(shingle_hashes(words, shingle, known))
+                fps[k] = fingerprint_words([*dict.fromkeys(words)], 1)
+                sketches[k] = sketch(hashes)
+                sizes[k] = len(hashes)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": fps.view(np.int64), "sketch": sketches.view(np.int64), "size": sizes.astype(np.int32)})
+
+    return run
 
 
 def _shingle_sets(shingle: int):
-    """The 32-bit hashes of a text's different word shingles; a text of fewer words has one of them all."""
+    """The 32-bit hashes of a text's different word shingles."""
 
     def run(batches):
-        import xxhash
-
         known: dict = {}
         for batch in batches:
-            sets = []
-            for text in batch["text"]:
-                words = text.encode("utf-8", "surrogatepass").lower().split()
-                if len(known) > 1 << 18:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh64_intdigest(w)
-                own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                n = max(1, len(own) - shingle + 1)
-                h = np.zeros(n, np.uint64)
-                for k in range(min(shingle, len(own))):
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            sets = [np.unique((shingle_hashes(t.encode("utf-8", "surrogatepass").lower().split(), shingle, known) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "set": sets})
 
     return run
@@ -331,13 +372,14 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     """(classes, found): classes (id, least, copies) has a row for each different text, its least doc_id and how many rows have both; found (a, b) are
     links between ids of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Each class is verified against its nearest candidates before and after it over all groups of fingerprints; then all
+    Each class is verified against its nearest candidates before and after it over all groups of fingerprints, by a sketch of its shingles; then all
     candidates are that these links do not join. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     keyed = _keyed(documents)
-    rows = settle(keyed.mapInPandas(trimmed(_prints), "doc_id long, id long, fp long").groupBy("id", "doc_id").agg(F.first("fp").alias("fp"), F.count("*").alias("copies")))
-    first = F.min(F.struct("doc_id", "copies", "fp"))
-    classes = settle(rows.groupBy("id").agg(first.alias("first")).select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), F.col("first.fp").alias("fp")))
-    proposed = settle(links(classes.select("id", "fp"), radius, nearest=True))
+    prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch long, size int")
+    rows = settle(prints.groupBy("id", "doc_id").agg(F.first(F.struct("fp", "sketch", "size")).alias("print"), F.count("*").alias("copies")))
+    first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "copies", "print")).alias("first"))
+    classes = settle(first.select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), "first.print.*"))
+    proposed = settle(links(classes.select("id", "fp", "sketch", "size"), radius, similarity))
     before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
     after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
     chosen = settle(before.unionByName(after).distinct())
@@ -346,17 +388,17 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     texts = keyed.join(_small(wanted), ["doc_id", "id"])
     sets = settle(texts.select("id", "text").mapInPandas(trimmed(_shingle_sets(shingle)), "id long, set array<int>").dropDuplicates(["id"]))
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
         both = F.size(F.array_intersect("left", "right"))
         return settle(paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b"))
 
-    found = alike(chosen)
+    found = verified(chosen)
     joined = components(found).select(F.col("node").alias("id"), "label")
-    apart = classes.select("id", "fp").join(sets.select("id", F.size("set").alias("size")), "id").join(joined, "id", "left")
-    apart = settle(apart.select("id", "fp", F.coalesce("label", "id").alias("label"), "size"))
-    rest = links(apart, radius, unlike=similarity).select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    return classes.select("id", "least", "copies"), found.unionByName(alike(rest))
+    apart = classes.select("id", "fp", "sketch", "size").join(wanted.select("id"), "id", "left_semi").join(joined, "id", "left")
+    apart = settle(apart.select("id", "fp", "sketch", "size", F.coalesce("label", "id").alias("label")))
+    rest = links(apart, radius, similarity).select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    return classes.select("id", "least", "copies"), found.unionByName(verified(rest))
 
 
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:

@@ -39,7 +39,7 @@ MOST_GRAMS = 1 << 22
 #: Labels, 16 bytes each, that may be broadcast to the documents; more are joined by a shuffle of what is labelled.
 BROADCAST_LABELS = 1 << 22
 #: Different words held before their grams are sent on, and words whose differences a model remembers.
-HELD_WORDS, KNOWN_WORDS = 40_000, 1 << 16
+HELD_WORDS, KNOWN_WORDS = 40_000, 1 << 17
 START, END = "\x02", "\x03"
 
 _MULTIPLIER, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -390,6 +390,40 @@ def test_components_of_a_chain(spark):
     assert {(r["node"], r["label"]) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def word_text(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(n)]
+
+
+def test_near_duplicates_with_added_blocks(spark):
+    """Pairs at similarities just over 0.8 by a block of words added at one end, and by words changed all over; and texts of the same words that are not alike."""
+    rng = np.random.default_rng(6)
+    rows, want = [], 0
+    for k in range(300):
+        words = word_text(rng, 60 + k)
+        if k % 3 == 0:
+            other = words + word_text(rng, int(0.2 * len(words)))
+        elif k % 3 == 1:
+            other = list(words)
+            for at in range(5, len(words), 60):
+                other[at] = "changed"
+        else:
+            other = list(rng.permutation(words))
+        want += k % 3 < 2
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(300)} <= left and {2 * k + 1 for k in range(2, 300, 3)} <= left
+    assert 600 - len(left) >= 0.93 * want
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    apart = []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 62, 450).astype(np.uint64)
+        apart.append((simhash.sketch(x[:400]) ^ simhash.sketch(x[50:])).bit_count())  # similarity 350 / 450
+    assert abs(np.mean(apart) - 32 * (1 - 350 / 450)) < 1 and max(apart) <= simhash.SKETCH_RADIUS + 4
+
+
 @needs_tables
 def test_near_duplicates_brute_force(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in documents(spark).collect())
