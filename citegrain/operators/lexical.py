@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citegrain import schemas as C
 from citegrain.functions.text import tokens
+from citegrain.storage import settle
 
 
 @dataclass(frozen=True)
@@ -23,15 +24,17 @@ def token_rows(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_index(chunks: DataFrame, text: str = "text") -> LexicalIndex:
-    """Statistics count chunks without tokens. A chunk's terms are counted within it, so only (term, 1) rows are summed across chunks."""
+    """The index is written once, to the checkpoint folder; searches read it and not the chunks. Statistics count chunks without tokens. A chunk's terms
+    are counted within it, so only (term, 1) rows are summed across chunks."""
     tokenised = chunks.select("chunk_id", tokens(text).alias("terms"))
     counted = tokenised.select("chunk_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    statistics = tokenised.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    postings = settle(counted)
+    statistics = settle(tokenised.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len")))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
     # statistics is an aggregate of one row: joining it copies two numbers
-    vocabulary = df.join(F.broadcast(statistics), how="cross").select("term", "df", idf.alias("idf"))
-    return LexicalIndex(counted, vocabulary, statistics)
+    vocabulary = settle(df.join(F.broadcast(statistics), how="cross").select("term", "df", idf.alias("idf")))
+    return LexicalIndex(postings, vocabulary, statistics)
 
 
 def question_terms(questions: DataFrame, question: str = "question") -> DataFrame:

@@ -11,6 +11,7 @@ from citegrain.functions import text as T
 from citegrain.operators import chunking, dense, evaluate, evidence, fusion, grounding, layout, lexical
 from citegrain.plans import pipeline
 from citegrain.sources import readers
+from citegrain.storage import settle
 from citegrain.streaming import streams
 
 QUERIES: dict = {}
@@ -168,11 +169,11 @@ def vectors(spark, d) -> DataFrame:
 
 VEC = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)))) AS x FROM e),
-cs AS (SELECT q.vec_id AS qid, u.vec_id AS chunk_id, q.label AS wanted, u.label AS label, round(list_dot_product(q.x, u.x), 9) + 0 AS score FROM u AS q, u WHERE q.vec_id < 50)"""
+cs AS (SELECT q.vec_id AS qid, u.vec_id AS chunk_id, q.label AS wanted, u.label AS label, round(list_dot_product(q.x, u.x), 9) + 0 AS score FROM u AS q, u WHERE q.vec_id % 20 = 0)"""
 
 
 def vector_questions(rows: DataFrame) -> DataFrame:
-    return rows.where("chunk_id < 50").select(F.col("chunk_id").alias("qid"), "vector")
+    return rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "vector")
 
 
 @query(f"WITH {VEC} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM {ranked_sql('cs', 30)}")
@@ -188,13 +189,13 @@ def dense_subset(spark, d):
 
 
 @query(f"WITH {VEC}, k AS {ranked_sql('cs', 10)} " + """, m AS (SELECT qid, count(*) FILTER (label = wanted AND rank <= 5) AS h5, count(*) FILTER (label = wanted) AS h10, min(rank) FILTER (label = wanted) AS f, sum((1e0 / log2(rank + 1e0))::DECIMAL(28,12)) FILTER (label = wanted) AS g FROM k GROUP BY qid),
-r AS (SELECT a.vec_id AS qid, count(*) AS n FROM u AS a JOIN u AS b ON a.label = b.label WHERE a.vec_id < 50 GROUP BY 1)
+r AS (SELECT a.vec_id AS qid, count(*) AS n FROM u AS a JOIN u AS b ON a.label = b.label WHERE a.vec_id % 20 = 0 GROUP BY 1)
 SELECT qid, n AS n_relevant, round(h5 / n::DOUBLE, 9) AS recall_5, round(h10 / n::DOUBLE, 9) AS recall_10, h5 / 5e0 AS precision_5, coalesce(1e0 / f, 0e0) AS mrr_10,
        round(coalesce(g, 0)::DOUBLE / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1e0 / log2(i + 1e0))), 9) AS ndcg_10 FROM m JOIN r USING (qid)""")
 def dense_metrics(spark, d):
     rows = vectors(spark, d)
     hits = dense.cosine_topk(vector_questions(rows), rows, 10)
-    wanted = rows.where("chunk_id < 50").select(F.col("chunk_id").alias("qid"), "label").join(rows.select("chunk_id", "label"), "label").select("qid", "chunk_id")
+    wanted = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "label").join(rows.select("chunk_id", "label"), "label").select("qid", "chunk_id")
     out = evaluate.per_question(vector_questions(rows).select("qid"), hits, wanted)
     return out.withColumns({c: F.round(c, 9) for c in ("recall_5", "recall_10")})
 
@@ -274,7 +275,7 @@ pq AS (SELECT cf.config, item_id AS qid, coalesce(n, 0) AS n_relevant, CASE WHEN
 
 
 def _scores(spark, d, hits):
-    wanted, questions = _relevant(spark, d), asked(spark, d).select("qid")
+    hits, wanted, questions = settle(hits), settle(_relevant(spark, d)), asked(spark, d).select("qid")
     out = None
     for label in [c.label for c in C.ABLATION]:
         own = evaluate.per_question(questions, hits.where(F.col("config") == label), wanted).withColumn("config", F.lit(label))
@@ -312,8 +313,8 @@ def scored_pool(spark, d) -> DataFrame:
     rows, questions = passages(spark, d), asked(spark, d)
     index = lexical.build_index(rows)
     pairs = lexical.bm25(questions, index, 100).select("qid", "chunk_id").join(questions, "qid")
-    scored = fusion.overlap_reranker(pairs, index).withColumnRenamed("rerank_score", "score")
-    return scored.join(rows.select("chunk_id", "doc_id", "text"), "chunk_id").withColumn("no", F.regexp_extract("doc_id", "[0-9]+", 0).cast("int"))
+    scored = fusion.overlap_reranker(settle(pairs), index).withColumnRenamed("rerank_score", "score")
+    return settle(scored.join(rows.select("chunk_id", "doc_id"), "chunk_id").withColumn("no", F.regexp_extract("doc_id", "[0-9]+", 0).cast("int")))
 
 
 def pool_of(rows: DataFrame, name: str) -> DataFrame:
@@ -517,9 +518,9 @@ def live_routing(spark, d):
 
 
 @query(rf"""WITH {_QV}, a AS (SELECT qid, regexp_replace(regexp_replace(regexp_replace(question, '\b(?:the\s+)?authors?[''’]?s?\b', 'Ada Quill', 'gi'), '\b(?:his|her|their|your)\b', 'Ada Quill''s', 'gi'), '\b(?:he|she|they|you)\b', 'Ada Quill', 'gi') AS t FROM q)
-SELECT qid, trim(regexp_replace(CASE WHEN contains(lower(t), 'ada') OR contains(lower(t), 'quill') THEN t ELSE 'Ada Quill: ' || t END, '\s+', ' ', 'g')) AS resolved FROM a WHERE qid < 1000""")
+SELECT qid, trim(regexp_replace(CASE WHEN contains(lower(t), 'ada') OR contains(lower(t), 'quill') THEN t ELSE 'Ada Quill: ' || t END, '\s+', ' ', 'g')) AS resolved FROM a""")
 def anaphora(spark, d):
-    return questions(spark, d).where("qid < 1000").select("qid", Q.resolve_anaphora("question", "Ada Quill").alias("resolved"))
+    return questions(spark, d).select("qid", Q.resolve_anaphora("question", "Ada Quill").alias("resolved"))
 
 
 TOPIC_SQL = "tk(topic, key, o) AS (VALUES " + ", ".join(f"('{t}', '{k}', {i})" for i, (t, ks) in enumerate(Q.TOPICS.items()) for k in ks) + ")"
@@ -561,18 +562,22 @@ def benchmark_binding(spark, d):
 # ---- live sources, context, citations, conversations
 
 
-@query("""WITH p AS (SELECT lang AS qid, source, doc_id AS pos, left(text, 12) AS title FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-t AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY pos) AS turn, list_position(['src1', 'src2', 'src3'], source) AS so, left(regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g'), 80) AS key FROM p),
-f AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY turn, so) AS n FROM t) SELECT qid, source, pos, row_number() OVER (PARTITION BY qid ORDER BY turn, so)::INTEGER AS rank FROM f WHERE n = 1""".replace("\\\\", "\\"))
+SOURCES = tuple(f"src{i}" for i in range(20))
+
+
+@query(rf"""WITH p AS (SELECT lang AS qid, source, doc_id AS pos, text AS title FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY pos) AS turn, list_position([{_in(SOURCES)}], source) AS so, left(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]', '', 'g'), 80) AS key FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY turn, so) AS n FROM t) SELECT qid, source, pos, row_number() OVER (PARTITION BY qid ORDER BY turn, so)::INTEGER AS rank FROM f WHERE n = 1""")
 def interleave_sources(spark, d):
-    rows = table(spark, d, "documents").where("source IN ('src1', 'src2', 'src3')").select(F.col("lang").alias("qid"), "source", F.col("doc_id").alias("pos"), F.substring("text", 1, 12).alias("title"))
-    return evidence.interleave(rows, ("src1", "src2", "src3")).select("qid", "source", "pos", "rank")
+    """All documents as results of their language's question, taken in turns from their sources; the text stands for a title."""
+    rows = table(spark, d, "documents").select(F.col("lang").alias("qid"), "source", F.col("doc_id").alias("pos"), F.col("text").alias("title"))
+    return evidence.interleave(rows, SOURCES).select("qid", "source", "pos", "rank")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS abstract FROM documents WHERE source = 'src4'")
+@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS abstract FROM documents")
 def inverted_abstract(spark, d):
     """An abstract stored as word positions and put together again is the squeezed text."""
-    rows = table(spark, d, "documents").where("source = 'src4'")
+    rows = table(spark, d, "documents")
     return readers.invert_abstracts(rows).select("doc_id", readers.reconstruct_abstract(F.col("inverted")).alias("abstract"))
 
 
@@ -855,13 +860,13 @@ def textbook_passages(spark, d):
     return readers.textbook_to_chunks(rows).select("chunk_id", "section_heading", "text")
 
 
-@query("""WITH u AS (SELECT event_id, user_id % 7 AS session, (event_id * 13) % 40 AS doc_id, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 17 = 0 THEN 30000000 ELSE 1000 END AS n_bytes, event_id % 5 <> 0 AS is_pdf, event_id % 90 AS n_pages, event_id % 6 AS n_chunks FROM events WHERE event_type = 'click'),
+@query("""WITH u AS (SELECT event_id, user_id % 7 AS session, (event_id * 13) % 40 AS doc_id, CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 17 = 0 THEN 30000000 ELSE 1000 END AS n_bytes, event_id % 5 <> 0 AS is_pdf, event_id % 90 AS n_pages, event_id % 6 AS n_chunks FROM events),
 j AS (SELECT *, row_number() OVER (PARTITION BY session, doc_id ORDER BY event_id) > 1 AS again FROM u),
 w AS (SELECT *, CASE WHEN n_bytes = 0 THEN 'empty' WHEN n_bytes > 20971520 THEN 'too large' WHEN NOT is_pdf THEN 'not a PDF' WHEN n_pages > 80 THEN 'too many pages' WHEN doc_id < 3 THEN 'already in the corpus' WHEN n_chunks = 0 THEN 'no passages' WHEN again THEN 'already open' END AS why FROM j),
 t AS (SELECT *, count(*) FILTER (why IS NULL) OVER (PARTITION BY session ORDER BY event_id) AS k FROM w) SELECT event_id AS seq, coalesce(CASE WHEN why IS NULL AND k > 5 THEN 'session is full' ELSE why END, 'taken') AS verdict FROM t""")
 def upload_ladder(spark, d):
     """The validation ladder of uploads over invented ones: empty, too large, no PDF, too long, known, without passages, open already, session full."""
-    e = table(spark, d, "events").where("event_type = 'click'")
+    e = table(spark, d, "events")
     uploads = e.select((F.col("user_id") % 7).alias("session"), F.col("event_id").alias("seq"), ((F.col("event_id") * 13) % 40).alias("doc_id"), F.when(F.col("event_id") % 11 == 0, 0).when(F.col("event_id") % 17 == 0, 30000000).otherwise(1000).alias("n_bytes"), (F.col("event_id") % 5 != 0).alias("is_pdf"), (F.col("event_id") % 90).alias("n_pages"), (F.col("event_id") % 6).alias("n_chunks"))
     corpus = spark.range(3).select(F.col("id").alias("doc_id"))
     return readers.upload_verdicts(uploads, corpus).select("seq", F.coalesce("refused", F.lit("taken")).alias("verdict"))

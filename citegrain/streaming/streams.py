@@ -48,7 +48,10 @@ def rate_limit(requests: DataFrame, hourly: int = C.RATE_HOUR, daily: int = C.RA
 def _folder(spark: SparkSession) -> str:
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citegrain-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    root = root or tempfile.mkdtemp(prefix="citegrain-stream-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -68,10 +71,10 @@ def drain(stream: DataFrame, keys: list[str], mode: str) -> DataFrame:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    try:
-        out = spark.read.parquet(f"{folder}/out")
-    except Exception:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch had rows
         return spark.createDataFrame([], schema)
+    out = spark.read.parquet(f"{folder}/out")
     if mode == "append":
         return out.select(*schema.names)
     last = out.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), "_batch").alias("x"))
