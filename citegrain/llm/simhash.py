@@ -124,9 +124,9 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
-#: What links() may be told of each fingerprint's text, to pass over pairs that need no verification: a sketch of its set of shingles, the set's size and
+#: What links() may be told of each fingerprint's text, to choose the candidates to verify: a sketch of its set of shingles, the set's size and
 #: the text's component so far.
-TOLD = {"sketch": "long", "size": "int", "label": "long"}
+TOLD = {"sketch": "binary", "size": "int", "label": "long"}
 
 
 def _probes(parts):
@@ -150,7 +150,7 @@ def _groups(batches, columns):
     for batch in batches:
         if not len(batch):
             continue
-        rows = [batch[c].to_numpy() for c in columns]
+        rows = [batch[c].to_numpy() for c in columns if c in batch]
         held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         gid = held[0]
         if len(gid) < 50_000 or gid[0] == gid[-1]:
@@ -203,26 +203,27 @@ def _forest(radius: int):
                         np.minimum.at(label, j, least)
                         np.minimum.at(label, label[i], least)
             own = label != np.arange(n)
-            yield pd.DataFrame({"a": ids[label[own]], "b": ids[own], "apart": np.int8(0)}).query("a != b").drop_duplicates()
+            yield pd.DataFrame({"a": ids[label[own]], "b": ids[own], "apart": np.int32(0)}).query("a != b").drop_duplicates()
 
     return run
 
 
-def _alike(sketch, size, ratio: float, i, j):
-    """Which pairs may have a Jaccard similarity of `ratio` by their sizes and sketches, and how many bits their sketches differ in."""
-    apart = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).astype(np.int64)
-    return (apart <= SKETCH_RADIUS) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])), apart
-
-
 def _nearest(radius: int, ratio: float):
-    """Of the candidates within each group, each one's nearest predecessor and its nearest successor by id, and the bits their sketches differ in."""
+    """Of the candidates within each group (of different labels, if there are labels), each one's nearest predecessor and its nearest successor by id, and the
+    bits their sketches differ in."""
 
     def run(batches):
-        for gid, probe, fps, ids, sketch, size in _groups(batches, ["gid", "probe", "fp", "id", "sketch", "size"]):
+        for gid, probe, fps, ids, sketch, size, *label in _groups(batches, ["gid", "probe", "fp", "id", *TOLD]):
             fps, n, none = fps.view(np.uint64), len(gid), np.iinfo(np.int64).max
+            sketch = np.frombuffer(b"".join(sketch), "<u8").reshape(n, -1)
+            most = furthest(ratio, BITS * sketch.shape[1])
             below, above = np.full(n, none), np.full(n, none)
-            for i, j in _meetings(gid, probe, fps, radius, lambda i, j: ids[i] != ids[j]):
-                may, apart = _alike(sketch, size, ratio, i, j)
+            able = (lambda i, j: label[0][i] != label[0][j]) if label else (lambda i, j: ids[i] != ids[j])  # noqa: E731, B023
+            for i, j in _meetings(gid, probe, fps, radius, able):
+                like = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+                i, j = i[like], j[like]
+                apart = np.concatenate([np.bitwise_count(sketch[i[at : at + 65_536]] ^ sketch[j[at : at + 65_536]]).sum(1, dtype=np.int64) for at in range(0, len(i) + 1, 65_536)])
+                may = apart <= most
                 i, j, apart = i[may], j[may], apart[may]
                 turned = ids[i] > ids[j]
                 lo, hi = np.where(turned, j, i), np.where(turned, i, j)
@@ -230,29 +231,7 @@ def _nearest(radius: int, ratio: float):
                 np.minimum.at(above, lo, apart * n + hi)
             b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
             pairs = {"a": [ids[below[b] % n], ids[a]], "b": [ids[b], ids[above[a] % n]], "apart": [below[b] // n, above[a] // n]}
-            yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int8}).drop_duplicates()
-
-    return run
-
-
-def _unlike(radius: int, ratio: float):
-    """All candidates within each group whose labels differ."""
-
-    def run(batches):
-        for gid, probe, fps, ids, sketch, size, label in _groups(batches, ["gid", "probe", "fp", "id", *TOLD]):
-            fps = fps.view(np.uint64)
-            new = np.append(True, gid[1:] != gid[:-1])
-            at = np.flatnonzero(new)
-            mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)  # a group of one label has nothing to verify
-            keep = mixed[np.cumsum(new) - 1]
-            gid, probe, fps, ids, sketch, size, label = (x[keep] for x in (gid, probe, fps, ids, sketch, size, label))
-            if not len(gid):
-                continue
-            for i, j in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
-                may, apart = _alike(sketch, size, ratio, i, j)
-                i, j = i[may], j[may]
-                if len(i):
-                    yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "apart": apart[may].astype(np.int8)})
+            yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int32}).drop_duplicates()
 
     return run
 
@@ -261,9 +240,9 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
     """(a, b, apart) between the ids of `fps` (id, fp): enough of the links within `radius` bits to join the same components in each group.
 
     fps is read more than once and so is best settled. ratio: fps also has `sketch` and `size`, ids are not negative, and links are candidates for
-    this similarity: each row's nearest ones before and after it by sketch, or, if fps has a `label` too, all between different labels."""
+    this similarity: each row's nearest ones before and after it by sketch, of other labels if fps has a `label` too."""
     more = {c: kind for c, kind in TOLD.items() if c in fps.columns}
-    how = _forest(radius) if ratio is None else _unlike(radius, ratio) if "label" in more else _nearest(radius, ratio)
+    how = _forest(radius) if ratio is None else _nearest(radius, ratio)
     total = fps.count()
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -278,7 +257,7 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
     dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
-    return dealt.mapInPandas(trimmed(how), "a long, b long, apart byte").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    return dealt.mapInPandas(trimmed(how), "a long, b long, apart int").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -295,9 +274,9 @@ def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int =
 #: Near-duplicates of texts: fingerprints of the different words, in which one changed word moves few bits, propose pairs within
 #: this many bits; five-word shingles decide.
 WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 12, 5, 0.8
-#: Bits that the sketches of two texts may differ in to be candidates: at the similarity 0.8 they differ in 6.4 of 64, with a standard deviation of 2.4.
-SKETCH_RADIUS = 16
-_SALTS = np.random.default_rng(SEED).integers(1, 1 << 62, BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of 64 bits in the sketch that every text has and in the one that only texts with a candidate have.
+SHORT, LONG = 1, 8
+_SALTS = np.random.default_rng(SEED).integers(1, 1 << 62, LONG * BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of two longs that may be broadcast to the documents, so that no text is shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 22
 
@@ -331,39 +310,47 @@ def shingle_hashes(words: list[bytes], shingle: int, known: dict) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sketch(hashes: np.ndarray) -> int:
-    """64 bits, one of the least value of each of 64 hash functions over the set: two sets' sketches differ in about (1 - Jaccard similarity) / 2 of them."""
-    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        x = hashes[at : at + 2048, None] * _SALTS
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits, one of the least value of each of as many hash functions over the set: two sets' sketches differ in about (1 - Jaccard similarity) / 2 of them."""
+    salts = _SALTS[: BITS * words]
+    least = np.full(len(salts), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048 // words):
+        x = hashes[at : at + 2048 // words, None] * salts
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    return int(np.packbits(((least * _SALTS[0]) >> np.uint64(40) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")[0])
+    return np.packbits(((least * _SALTS[0]) >> np.uint64(40) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")
+
+
+def furthest(ratio: float, width: int) -> float:
+    """Bits that the sketches of sets with the similarity `ratio` differ in, and four standard deviations more."""
+    share = (1 - ratio) / 2
+    return width * share + 4 * (width * share * (1 - share)) ** 0.5
 
 
 def _prints(shingle: int):
     def run(batches):
         known: dict = {}
         for batch in batches:
-            fps, sketches, sizes = (np.zeros(len(batch), np.uint64) for _ in range(3))
+            fps, sizes, sketches = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.int32), []
             for k, text in enumerate(batch["text"]):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
                 hashes = np.unique(shingle_hashes(words, shingle, known))
                 fps[k] = fingerprint_words([*dict.fromkeys(words)], 1)
-                sketches[k] = sketch(hashes)
+                sketches.append(sketch(hashes, SHORT).tobytes())
                 sizes[k] = len(hashes)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": fps.view(np.int64), "sketch": sketches.view(np.int64), "size": sizes.astype(np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": fps.view(np.int64), "sketch": sketches, "size": sizes})
 
     return run
 
 
 def _shingle_sets(shingle: int):
-    """The 32-bit hashes of a text's different word shingles."""
+    """The 32-bit hashes of a text's different word shingles, and their long sketch."""
 
     def run(batches):
         known: dict = {}
         for batch in batches:
-            sets = [np.unique((shingle_hashes(t.encode("utf-8", "surrogatepass").lower().split(), shingle, known) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "set": sets})
+            hashes = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass").lower().split(), shingle, known)) for t in batch["text"]]
+            sets = [np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)) for h in hashes]
+            yield pd.DataFrame({"id": batch["id"], "set": sets, "sketch": [sketch(h, LONG).tobytes() for h in hashes]})
 
     return run
 
@@ -372,21 +359,25 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     """(classes, found): classes (id, least, copies) has a row for each different text, its least doc_id and how many rows have both; found (a, b) are
     links between ids of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
 
-    Each class is verified against its nearest candidates before and after it over all groups of fingerprints, by a sketch of its shingles; then all
-    candidates are that these links do not join. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
+    Each class is verified against its nearest candidates before and after it over all groups of fingerprints, by a short sketch of its shingles; then
+    against its nearest ones that these links do not join to it, by a long sketch, which tells the copies of a large group apart. So the pairs are
+    at most four for each text, however large its group is. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     keyed = _keyed(documents)
-    prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch long, size int")
+    prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch binary, size int")
     rows = settle(prints.groupBy("id", "doc_id").agg(F.first(F.struct("fp", "sketch", "size")).alias("print"), F.count("*").alias("copies")))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "copies", "print")).alias("first"))
     classes = settle(first.select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), "first.print.*"))
-    proposed = settle(links(classes.select("id", "fp", "sketch", "size"), radius, similarity))
-    before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
-    after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
-    chosen = settle(before.unionByName(after).distinct())
+
+    def chosen_of(proposed: DataFrame) -> DataFrame:
+        before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
+        after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
+        return settle(before.unionByName(after).distinct())
+
+    chosen = chosen_of(settle(links(classes.select("id", "fp", "sketch", "size"), radius, similarity)))
     ends = chosen.select(F.col("a").alias("id")).unionByName(chosen.select(F.col("b").alias("id"))).distinct()
     wanted = settle(classes.select("id", F.col("least").alias("doc_id")).join(ends, "id"))
     texts = keyed.join(_small(wanted), ["doc_id", "id"])
-    sets = settle(texts.select("id", "text").mapInPandas(trimmed(_shingle_sets(shingle)), "id long, set array<int>").dropDuplicates(["id"]))
+    sets = settle(texts.select("id", "text").mapInPandas(trimmed(_shingle_sets(shingle)), "id long, set array<int>, sketch binary").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
@@ -395,9 +386,9 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
 
     found = verified(chosen)
     joined = components(found).select(F.col("node").alias("id"), "label")
-    apart = classes.select("id", "fp", "sketch", "size").join(wanted.select("id"), "id", "left_semi").join(joined, "id", "left")
+    apart = classes.select("id", "fp", "size").join(sets.select("id", "sketch"), "id").join(joined, "id", "left")
     apart = settle(apart.select("id", "fp", "sketch", "size", F.coalesce("label", "id").alias("label")))
-    rest = links(apart, radius, similarity).select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    rest = chosen_of(settle(links(apart, radius, similarity)))
     return classes.select("id", "least", "copies"), found.unionByName(verified(rest))
 
 

@@ -417,11 +417,28 @@ def test_near_duplicates_with_added_blocks(spark):
 
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
-    apart = []
-    for _ in range(200):
-        x = rng.integers(0, 1 << 62, 450).astype(np.uint64)
-        apart.append((simhash.sketch(x[:400]) ^ simhash.sketch(x[50:])).bit_count())  # similarity 350 / 450
-    assert abs(np.mean(apart) - 32 * (1 - 350 / 450)) < 1 and max(apart) <= simhash.SKETCH_RADIUS + 4
+    for words in (simhash.SHORT, simhash.LONG):
+        apart = []
+        for _ in range(200):
+            x = rng.integers(0, 1 << 62, 450).astype(np.uint64)
+            apart.append(int(np.bitwise_count(simhash.sketch(x[:400], words) ^ simhash.sketch(x[50:], words)).sum()))  # similarity 350 / 450
+        share = (1 - 350 / 450) / 2
+        assert abs(np.mean(apart) - 64 * words * share) < 0.05 * 64 * words * share and max(apart) <= simhash.furthest(350 / 450, 64 * words)
+
+
+def test_copies_of_a_large_group(spark):
+    """Five hundred copies of one text, each with words of its own changed: few are alike among themselves, all are like the text. And as many that are alike to none."""
+    rng = np.random.default_rng(9)
+    one, two = word_text(rng, 400), word_text(rng, 400)
+    rows = [(0, " ".join(one)), (1, " ".join(two))]
+    for k in range(2, 1002):
+        text, every = (one, 50) if k % 2 else (two, 12)
+        copy = list(text)
+        for at in range(int(rng.integers(every)), 400, every):
+            copy[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(left & set(range(3, 1002, 2))) <= 25 and {0, 1} | set(range(2, 1002, 2)) <= left
 
 
 @needs_tables
