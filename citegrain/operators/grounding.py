@@ -135,3 +135,14 @@ def ask(questions: DataFrame, evidence: DataFrame, generate=extractive_answer) -
     fine = F.coalesce(F.col("grounded"), F.lit(False))
     out = shown.select("qid", F.when(fine, F.col("text")).otherwise(NO_EVIDENCE).alias("text"), F.when(fine, F.size("cited")).otherwise(0).alias("n_citations"))
     return out, citations.join(texts.where("grounded").select("qid"), "qid", "left_semi")
+
+
+def citation_flags(citations: DataFrame) -> DataFrame:
+    """citations (qid, chunk_id, ...) with `site` and `textbook`: whether they rest on the owner's site or textbook."""
+    return citations.withColumn("site", F.col("chunk_id").startswith("site:")).withColumn("textbook", F.col("chunk_id").startswith("textbook:"))
+
+
+def answer_flags(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """answers (qid, ...) with `n_citations` and `about_author`: whether any citation is of the owner's site."""
+    flags = citation_flags(citations).groupBy("qid").agg(F.count("*").alias("n_citations"), F.bool_or("site").alias("about_author"))
+    return answers.join(flags, "qid", "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0))).withColumn("about_author", F.coalesce("about_author", F.lit(False)))

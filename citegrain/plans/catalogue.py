@@ -854,7 +854,15 @@ def section_segments(spark, d):
     return layout.sections(paper_lines(spark)).select("kind", "heading", "page_start", "page_end")
 
 
-@query()
+SQUEEZE = r"trim(regexp_replace(coalesce({x}, ''), '[\s\x0b\x85\xa0\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(rf"""WITH RECURSIVE k AS (SELECT doc_id, lang, {SQUEEZE.format(x='text')} AS t FROM documents),
+p AS (SELECT doc_id, lang, CASE WHEN length(t) <= 900 THEN [t] ELSE string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS s FROM k WHERE length(t) >= 120),
+f(doc_id, lang, s, i, buf, done) AS (SELECT doc_id, lang, s, 1, '', NULL::VARCHAR FROM p UNION ALL
+  SELECT doc_id, lang, s, i + 1, CASE WHEN over OR buf = '' THEN coalesce(s[i], '') ELSE buf || ' ' || coalesce(s[i], '') END, CASE WHEN (over OR i > len(s)) AND buf <> '' THEN buf END
+  FROM (SELECT *, i <= len(s) AND buf <> '' AND length(buf) + 1 + length(s[i]) > 900 AS over FROM f WHERE i <= len(s) + 1))
+SELECT 'textbook:' || doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS chunk_id, 'Textbook ' || doc_id || CASE WHEN lang <> '' THEN ' · ' || lang ELSE '' END AS section_heading, done AS text FROM f WHERE done IS NOT NULL""")
 def textbook_passages(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.col("lang").alias("book"), F.lit("").alias("chapter"), F.lit(None).cast("string").alias("url"))
     return readers.textbook_to_chunks(rows).select("chunk_id", "section_heading", "text")
@@ -878,3 +886,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     hits = fusion.rrf({"bm25": lexical.bm25(asked(spark, d), lexical.build_index(rows), C.RetrievalConfig().candidates)})
     served = evidence.diversify(hits.join(rows.select("chunk_id", "doc_id"), "chunk_id"), C.PER_DOC, C.SERVED)
     return served.select("qid", "rank", "chunk_id", "doc_id", "score")
+
+
+from citegrain.plans import adapters  # noqa: E402, F401  (registers its queries here)

@@ -117,6 +117,25 @@ def reconstruct_abstract(inverted: Column) -> Column:
     return F.coalesce(squeeze(F.array_join(F.transform(F.array_sort(flat), lambda x: x["w"]), " ")), F.lit(""))
 
 
+WORK = "id string, doi string, title string, publication_date string, authorships array<struct<author:struct<display_name:string>>>, abstract_inverted_index map<string,array<int>>, primary_location struct<source:struct<display_name:string>>"
+
+
+def index_works(payloads: DataFrame, most_authors: int = 8) -> DataFrame:
+    """payloads (qid, json) of an open index of works to papers: works without a title or an abstract are left out, the venue stands before the abstract,
+    and the DOI is the id, or else the index's own."""
+    rows = payloads.select("qid", F.posexplode(F.from_json("json", f"results array<struct<{', '.join(f.replace(' ', ':', 1) for f in WORK.split(', '))}>>")["results"]).alias("pos", "w"))
+    doi = F.replace(F.coalesce("w.doi", F.lit("")), F.lit("https://doi.org/"), F.lit(""))
+    own = F.regexp_extract(F.coalesce("w.id", F.lit("")), r"([^/]*)$", 1)
+    venue, text = F.coalesce("w.primary_location.source.display_name", F.lit("")), reconstruct_abstract(F.col("w.abstract_inverted_index"))
+    names = F.filter(F.transform(F.coalesce("w.authorships", F.array()), lambda a: a["author"]["display_name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    out = rows.select(
+        "qid", "pos", F.coalesce(F.nullif(doi, F.lit("")), own).alias("paper_id"), squeeze("w.title").alias("title"), F.slice(names, 1, most_authors).alias("authors"), text.alias("text"), venue.alias("venue"),
+        F.coalesce("w.publication_date", F.lit("")).alias("published"), F.coalesce(F.nullif("w.doi", F.lit("")), "w.id", F.lit("")).alias("url"), F.lit("openalex").alias("source"),
+    ).where("text != '' AND title != ''")
+    abstract = F.when(F.col("venue") != "", F.concat(F.lit("["), "venue", F.lit("] "), "text")).otherwise(F.col("text"))
+    return out.withColumn("abstract", abstract).drop("text", "venue")
+
+
 def papers_to_chunks(papers: DataFrame) -> DataFrame:
     """One chunk of each paper's abstract, without pages."""
     heading = F.concat(F.initcap("source"), F.lit(" "), F.col("paper_id"), F.lit(" · abstract · "), F.coalesce("published", F.lit("")))
