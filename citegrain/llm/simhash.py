@@ -30,6 +30,8 @@ SHINGLE, RADIUS = 4, 4
 SAMPLE, ROW_COST, PAIR_COST = 2048, 1.0, 0.001
 #: A value's group of more fingerprints than this is split into blocks of about half as many.
 GROUP = 16_384
+#: A plan has fewer parts than this power of two; a group's number ends in its part's.
+PARTS = 8
 #: Pairs of rows that a task lays out at once.
 PAIRS = 1 << 19
 
@@ -97,7 +99,7 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
     sample = np.unique(sample.astype(np.uint64))
     bits = _bits(sample) if len(sample) > 1 else np.eye(2, BITS, dtype=np.uint8)
     best = None
-    for parts in range(2, 8):
+    for parts in range(2, PARTS):
         groups = _group_bits(bits, parts)
         costs = []
         for group in groups:
@@ -126,7 +128,7 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
 
 #: What links() may be told of each fingerprint's text, to choose the candidates to verify: a sketch of its set of shingles, the set's size and
 #: the text's component so far.
-TOLD = {"sketch": "binary", "size": "int", "label": "long"}
+TOLD = ("sketch", "size", "label")
 
 
 def _probes(parts):
@@ -162,9 +164,10 @@ def _groups(batches, columns):
         yield held
 
 
-def _meetings(gid, probe, fps, radius: int, able=None):
-    """(i, j): rows of a group within the radius of which one at least is at its own value; those come first in a group. A bounded number of
-    pairs is laid out at once. able: tells from i and j which pairs are worth a look."""
+def _meetings(gid, probe, fps, radius: int, parts, able):
+    """(i, j): rows of a group within the radius of which one at least is at its own value; those come first in a group. A pair that meets in
+    several parts is given in the first of them only. A bounded number of pairs is laid out at once. able: tells from i and j which pairs are worth a look."""
+    masks = [(np.uint64(sum(1 << b for b in group)), threshold) for group, threshold in parts]
     n = len(gid)
     own = np.flatnonzero(probe == 0)
     last = np.append(np.flatnonzero(gid[1:] != gid[:-1]), n - 1)
@@ -177,15 +180,19 @@ def _meetings(gid, probe, fps, radius: int, able=None):
             continue
         i = np.repeat(rows, size)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
-        if able is not None:
-            worth = able(i, j)
-            i, j = i[worth], j[worth]
-        apart = np.bitwise_count(fps[i] ^ fps[j])
-        near = apart <= radius
-        yield i[near], j[near]
-
-
-def _forest(radius: int):
+        worth = able(i, j)
+        i, j = i[worth], j[worth]
+        bits = fps[i] ^ fps[j]
+        near = np.bitwise_count(bits) <= radius
+        i, j, bits = i[near], j[near], bits[near]
+        part = gid[i] & (PARTS - 1)
+        first = np.ones(len(i), bool)
+        for k, (mask, threshold) in enumerate(masks[:-1]):
+            first &= (part <= k) | (np.bitwise_count(bits & mask) > threshold)
+        yield i[first], j[first]
+
+
+def _forest(radius: int, parts):
     """Links within each group: a spanning forest, each fingerprint with the least one that it reaches in its group."""
 
     def run(batches):
@@ -195,7 +202,7 @@ def _forest(radius: int):
             changed = True
             while changed:  # until no link joins two labels
                 changed = False
-                for i, j in _meetings(gid, probe, fps, radius, lambda i, j: label[i] != label[j]):
+                for i, j in _meetings(gid, probe, fps, radius, parts, lambda i, j: label[i] != label[j]):
                     if len(i):
                         changed = True
                         least = np.minimum(label[i], label[j])
@@ -208,18 +215,18 @@ def _forest(radius: int):
     return run
 
 
-def _nearest(radius: int, ratio: float):
+def _nearest(radius: int, parts, ratio: float):
     """Of the candidates within each group (of different labels, if there are labels), each one's nearest predecessor and its nearest successor by id, and the
     bits their sketches differ in."""
 
     def run(batches):
         for gid, probe, fps, ids, sketch, size, *label in _groups(batches, ["gid", "probe", "fp", "id", *TOLD]):
             fps, n, none = fps.view(np.uint64), len(gid), np.iinfo(np.int64).max
-            sketch = np.frombuffer(b"".join(sketch), "<u8").reshape(n, -1)
+            sketch = (np.frombuffer(b"".join(sketch), "<u8") if sketch.dtype == object else sketch.view(np.uint64)).reshape(n, -1)
             most = furthest(ratio, BITS * sketch.shape[1])
             below, above = np.full(n, none), np.full(n, none)
             able = (lambda i, j: label[0][i] != label[0][j]) if label else (lambda i, j: ids[i] != ids[j])  # noqa: E731, B023
-            for i, j in _meetings(gid, probe, fps, radius, able):
+            for i, j in _meetings(gid, probe, fps, radius, parts, able):
                 like = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
                 i, j = i[like], j[like]
                 apart = np.concatenate([np.bitwise_count(sketch[i[at : at + 65_536]] ^ sketch[j[at : at + 65_536]]).sum(1, dtype=np.int64) for at in range(0, len(i) + 1, 65_536)])
@@ -241,12 +248,12 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
 
     fps is read more than once and so is best settled. ratio: fps also has `sketch` and `size`, ids are not negative, and links are candidates for
     this similarity: each row's nearest ones before and after it by sketch, of other labels if fps has a `label` too."""
-    more = {c: kind for c, kind in TOLD.items() if c in fps.columns}
-    how = _forest(radius) if ratio is None else _nearest(radius, ratio)
+    more = {c: fps.schema[c].dataType.simpleString() for c in TOLD if c in fps.columns}
     total = fps.count()
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, total, radius)
+    how = _forest(radius, parts) if ratio is None else _nearest(radius, parts, ratio)
     rows = fps.select("id", "fp", *more).mapInPandas(trimmed(_probes(parts)), ", ".join(["part int, value long, probe byte, fp long, id long", *(f"{c} {kind}" for c, kind in more.items())]))
     # Hot values: at most one in GROUP rows, known before the rows are dealt.
     hot = settle(rows.groupBy("part", "value").count().where(F.col("count") > GROUP).select("part", "value", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")))
@@ -256,6 +263,7 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
         rows = rows.withColumn("gid", F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")))
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
+    rows = rows.withColumn("gid", F.col("gid").bitwiseAND(F.lit(-PARTS)).bitwiseOR(F.col("part").cast("long")))
     dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
     return dealt.mapInPandas(trimmed(how), "a long, b long, apart int").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
@@ -335,7 +343,7 @@ def _prints(shingle: int):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
                 hashes = np.unique(shingle_hashes(words, shingle, known))
                 fps[k] = fingerprint_words([*dict.fromkeys(words)], 1)
-                sketches.append(sketch(hashes, SHORT).tobytes())
+                sketches.append(sketch(hashes, SHORT).view(np.int64)[0])
                 sizes[k] = len(hashes)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "id": batch["id"], "fp": fps.view(np.int64), "sketch": sketches, "size": sizes})
 
@@ -363,7 +371,7 @@ def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: fl
     against its nearest ones that these links do not join to it, by a long sketch, which tells the copies of a large group apart. So the pairs are
     at most four for each text, however large its group is. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     keyed = _keyed(documents)
-    prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch binary, size int")
+    prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch long, size int")
     rows = settle(prints.groupBy("id", "doc_id").agg(F.first(F.struct("fp", "sketch", "size")).alias("print"), F.count("*").alias("copies")))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "copies", "print")).alias("first"))
     classes = settle(first.select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), "first.print.*"))
