@@ -259,7 +259,7 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
     hot = settle(rows.groupBy("part", "value").count().where(F.col("count") > GROUP).select("part", "value", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")))
     if hot.limit(1).count():
         block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
-        rows = rows.join(hot, ["part", "value"], "left").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        rows = rows.join(_small(hot), ["part", "value"], "left").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         rows = rows.withColumn("gid", F.xxhash64("part", "value", F.least("own", "other"), F.greatest("own", "other")))
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
