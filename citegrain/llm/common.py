@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrain.storage import settle  # noqa: F401  (the operators take it from here)
+
 #: A word: a run of anything but space and the control characters from tab to carriage return.
 #: bytes.split() without arguments splits at exactly these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back, so that its lineage ends and its size is known.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where none is set (tests) a temporary one is made."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citegrain-"))
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Have the driver's JVM find what is unreachable, so that the shuffle files of lineage that a checkpoint ended are removed now: it may
     not look for them in a long while. To be called when no variable holds the frame that was settled."""
