@@ -40,7 +40,7 @@ def site_chunks(spark, d):
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(coalesce(source, '')), 'src1') OR contains(lower(coalesce(lang, '')), 'fr') OR contains(lower(coalesce(source, '')), 'fr') OR contains(lower(coalesce(lang, '')), 'src1')")
-def open_access(spark, d):
+def papers_open_access(spark, d):
     return readers.open_access(table(spark, d, "documents").select("doc_id", F.col("source").alias("source_path"), F.col("lang").alias("title")), ("src1", "fr")).select("doc_id")
 
 
