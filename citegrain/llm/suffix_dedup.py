@@ -9,9 +9,10 @@ strings mostly share one; a run of strings with one anchor is a segment.
 2. Segments of anchors that two documents hold are sent, dealt by anchor; of equal segments in a chunk the first document's alone, the
    others are covered.
 3. For each share of the anchors, chunks come in order as batches. A batch gets a suffix array: its strings' places in order of a 64-bit hash
-   of their `length` bytes (with matches of that length only, any order that puts equal prefixes together does). It is merge-scanned
-   against the arrays of the existing levels, and with its own earlier documents; then it becomes a level, and levels of about equal size merge, so
-   there are about log n levels and a key moves log n times. Levels keep different keys only.
+   of their `length` bytes (with matches of that length only, any order that puts equal prefixes together does), and those of one hash in order of
+   the bytes. It is merge-scanned against the arrays of the existing levels, and with its own earlier documents; then it becomes a level, and levels of
+   about equal size merge, so there are about log n levels and a key moves log n times. Levels keep different strings only. Strings are equal if
+   their bytes are: a hash only says where to look. The number of shares grows with the text, so that of one share stays bounded.
 4. Covered stretches go back to their chunks, are joined and cut out.
 A passage in many documents is sent once from each chunk, not once from each document.
 
@@ -32,6 +33,8 @@ LENGTH, ANCHOR = 50, 16
 #: Text bytes in a chunk, about; small tables have a chunk for each shuffle partition.
 CHUNK_BYTES = 4_000_000
 MOST_CHUNKS = 1 << 16
+#: Text bytes for each share of the anchors, about; small tables have a share for each shuffle partition.
+SHARE_BYTES = 32_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -186,6 +189,10 @@ def _send(shares: int, length: int):
         head[:1] = True
         lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
         covered = rank[document[order]] > rank[document[order[lead]]]
+        at = begins[document] + start
+        for k in np.flatnonzero(covered).tolist():  # of equal hashes; what differs in its bytes is sent
+            a, b, m = at[order[k]], at[order[lead[k]]], strings[order[k]] + length - 1
+            covered[k] = joined[a : a + m] == joined[b : b + m]
         rows = []
         if covered.any():
             c = order[covered]
@@ -193,7 +200,6 @@ def _send(shares: int, length: int):
         order = order[~covered]
         order = order[np.lexsort((start[order], document[order], share[order]))]
         edges = np.searchsorted(share[order], np.arange(shares + 1, dtype=np.uint64))
-        at = begins[document] + start
         for k in range(shares):
             own = order[edges[k] : edges[k + 1]]
             if len(own):
@@ -204,52 +210,83 @@ def _send(shares: int, length: int):
     return run
 
 
+def _equal(text: bytes, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the `length` bytes from places a on are those from places b on; text is 64 bytes longer than they reach."""
+    same = np.ones(len(a), bool)
+    for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        words = _words(text, offset, len(text) - offset - 7)
+        same &= words[a] == words[b]
+    return same
+
+
 class Levels:
-    """Sorted arrays of keys, each over twice as long as the next."""
+    """Arrays of the places of different strings of a text in order of their hashes, each over twice as long as the next."""
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def __init__(self, text: bytes, length: int):
+        self.text, self.length = text, length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """keys: sorted. A merge scan of each level."""
+    def holds(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """keys: sorted, of the strings at places. A merge scan of each level."""
         found = np.zeros(len(keys), bool)
-        for level in self.levels:
-            at = np.searchsorted(level, keys)
-            at[at == len(level)] = 0
-            found |= level[at] == keys
+        for level, held in self.levels:
+            asked = np.flatnonzero(~found)
+            at = np.searchsorted(level, keys[asked])
+            while len(asked):  # once, but where different strings have one hash
+                near = at < len(level)
+                near[near] = level[at[near]] == keys[asked[near]]
+                asked, at = asked[near], at[near]
+                same = _equal(self.text, held[at], places[asked], self.length)
+                found[asked[same]] = True
+                asked, at = asked[~same], at[~same] + 1
         return found
 
-    def add(self, keys: np.ndarray) -> None:
-        """keys: sorted, different, and held by no level."""
-        while self.levels and len(self.levels[-1]) < 2 * len(keys):
-            keys = np.concatenate([self.levels.pop(), keys])
-            keys.sort(kind="stable")  # merges the two runs
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """keys: sorted, of the strings at places, which are different and held by no level."""
+        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
+            level, held = self.levels.pop()
+            keys, places = np.concatenate([level, keys]), np.concatenate([held, places])
+            order = np.argsort(keys, kind="stable")  # merges the two runs
+            keys, places = keys[order], places[order]
         if len(keys):
-            self.levels.append(keys)
+            self.levels.append((keys, places))
 
 
-def _scan(length: int):
+def _scan(length: int, hashes_of=_hash):
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         if key[0] == 1:
             return frame[["chunk", "meta"]]
-        levels, rows = Levels(), []
-        for chunk, meta, content in sorted(zip(frame["chunk"], frame["meta"], frame["content"]), key=lambda x: x[0]):
+        frame = frame.sort_values("chunk")
+        text = b"".join([*frame["content"], bytes(length + 64)])
+        narrow = np.uint32 if len(text) < 1 << 32 else np.int64
+        levels, rows, begin = Levels(text, length), [], 0
+        for chunk, meta, content in zip(frame["chunk"], frame["meta"], frame["content"]):
             document, rank, start, strings = np.frombuffer(meta, "<i4").reshape(4, -1).astype(np.int64)
             sizes = strings + length - 1
             begins = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(strings)), strings)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-            hashes = _hash(content + bytes(length + 64), len(content), length)[begins[owner] + place]
+            local = begins[owner] + place
+            hashes, places = hashes_of(content + bytes(length + 64), len(content), length)[local], (begin + local).astype(narrow)
+            begin += len(content)
             suffixes = np.lexsort((rank[owner], hashes))  # the batch's suffix array, earlier documents first among equals
-            keys, ranks = hashes[suffixes], rank[owner][suffixes]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
+            tied = np.flatnonzero(hashes[suffixes[1:]] == hashes[suffixes[:-1]])
+            unlike = ~_equal(text, places[suffixes[tied + 1]], places[suffixes[tied]], length)
+            new = np.ones(len(hashes), bool)
+            if unlike.any():  # different strings of one hash
+                strings_ = np.array([text[p : p + length] for p in places.tolist()], dtype=object)
+                _, ordinal = np.unique(strings_, return_inverse=True)
+                suffixes = np.lexsort((rank[owner], ordinal, hashes))
+                new[1:] = ordinal[suffixes[1:]] != ordinal[suffixes[:-1]]
+            else:
+                new[tied + 1] = False
+            keys, ranks, places = hashes[suffixes], rank[owner][suffixes], places[suffixes]
             lead = np.flatnonzero(new)
-            known = levels.holds(keys[lead])
+            known = levels.holds(keys[lead], places[lead])
             group = np.cumsum(new) - 1
             hit = np.zeros(len(keys), bool)
             hit[suffixes] = known[group] | (ranks > ranks[lead][group])
-            levels.add(keys[lead][~known])
+            levels.add(keys[lead][~known], places[lead][~known])
             edge = np.ones(len(owner), bool)
             edge[1:] = owner[1:] != owner[:-1]
             opens = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
@@ -304,17 +341,18 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(min(MOST_CHUNKS, max(2 * ways, size // CHUNK_BYTES)))
+    shares = int(max(ways, size // SHARE_BYTES))
     bounds = sorted({int(x) for x in rows.where("doc_id is not null").approxQuantile("doc_id", [k / chunks for k in range(1, chunks)], 0.2 / chunks)}) if size else []
     keyed = rows.select("doc_id", F.col("doc_id").isNull().alias("no_id"), "text")
     keyed = keyed.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "no_id", "text")
     chunk = F.when(F.col("no_id"), F.lit(len(bounds) + 1)).otherwise(_chunk(bounds)(F.col("doc_id")))
     # One exchange deals the documents to their chunks; the three steps that read them share it.
-    dealt = keyed.withColumn("chunk", chunk.cast("int")).repartition(ways, "chunk")
+    dealt = keyed.withColumn("chunk", chunk.cast("int")).repartition(shares, "chunk")
     by_chunk = dealt.groupBy("chunk")
-    anchors = by_chunk.applyInPandas(_anchors(ways, length), "share int, chunk int, anchors binary")
-    shared = anchors.groupBy("share").applyInPandas(_shared, "chunk int, share int, bits binary")
-    sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInPandas(_send(ways, length), "key int, kind int, chunk int, meta binary, content binary")
-    found = sent.groupBy("kind", "key").applyInPandas(_scan(length), "chunk int, meta binary")
+    anchors = by_chunk.applyInPandas(_anchors(shares, length), "share int, chunk int, anchors binary")
+    shared = anchors.repartition(shares, "share").groupBy("share").applyInPandas(_shared, "chunk int, share int, bits binary")
+    sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInPandas(_send(shares, length), "key int, kind int, chunk int, meta binary, content binary")
+    found = sent.repartition(shares, "kind", "key").groupBy("kind", "key").applyInPandas(_scan(length), "chunk int, meta binary")
     return by_chunk.cogroup(found.groupBy("chunk")).applyInPandas(_cut, KEPT)
 
 

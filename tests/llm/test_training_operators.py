@@ -9,6 +9,7 @@ from functools import cache
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -316,18 +317,39 @@ def test_suffix_dedup_brute_force(spark):
     assert sorted(want) == sorted(got)
 
 
-def test_levels_hold_what_was_added():
-    rng, levels, seen = np.random.default_rng(1), suffix_dedup.Levels(), set()
+@pytest.mark.parametrize("bits", [64, 6])
+def test_levels_hold_what_was_added(bits):
+    """Different strings stay apart, also where they have one hash."""
+    rng, seen = np.random.default_rng(1), set()
+    text = rng.integers(97, 100, 4000).astype("u1").tobytes() + bytes(80)
+    levels = suffix_dedup.Levels(text, 8)
     for _ in range(60):
-        keys = np.unique(rng.integers(0, 4000, 100).astype(np.uint64))
-        held = levels.holds(keys)
-        assert held.tolist() == [int(k) in seen for k in keys]
-        levels.add(keys[~held])
-        seen.update(keys.tolist())
-        sizes = [len(x) for x in levels.levels]
+        own = {text[p : p + 8]: p for p in rng.integers(0, 3990, 100).tolist()}
+        places = np.array(list(own.values()))
+        keys = np.array([xxhash.xxh64_intdigest(x, 1) >> (64 - bits) for x in own], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], places[order]
+        held = levels.holds(keys, places)
+        assert held.tolist() == [text[p : p + 8] in seen for p in places]
+        levels.add(keys[~held], places[~held])
+        seen.update(own)
+        sizes = [len(x) for x, _ in levels.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_scan_compares_bytes():
+    """A hash of eight values finds what one of 64 bits finds."""
+    rng, rows = np.random.default_rng(2), []
+    for chunk in range(12):
+        texts = [rng.integers(97, 99, 40).astype("u1").tobytes() * 2 for _ in range(5)]
+        meta = np.array([[k, chunk * 9 + k, 0, 31] for k in range(5)]).T.astype("<i4").tobytes()
+        rows.append((chunk, meta, b"".join(t if k else b"ab" * 40 for k, t in enumerate(texts))))
+    frame = pd.DataFrame(rows, columns=["chunk", "meta", "content"])
+    weak = lambda buffer, n, length: suffix_dedup._hash(buffer, n, length) & np.uint64(7)
+    plain, tied = (suffix_dedup._scan(50, f)((0, 0), frame) for f in (suffix_dedup._hash, weak))
+    assert len(plain) == 11 and plain.equals(tied)
+
+
 def reference_fingerprint(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
