@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citegrain.operators import chunking, dense, evaluate, evidence, grounding
+from citegrain.operators import chunking, dense, evaluate, evidence, freshness, grounding
 from citegrain.plans.catalogue import SQUEEZE, query, table
 from citegrain.sources import readers
 
@@ -120,3 +120,56 @@ def refusal_misses(spark, d):
 def kind_histogram(spark, d):
     """Languages stand for kinds of section."""
     return evaluate.kind_histogram(table(spark, d, "documents").select(F.col("lang").alias("section_kind")))
+
+
+# ---- sources read over and over: users stand for sources, views for reads that succeeded, errors for failures
+
+SNAPSHOT = """snapshot AS (SELECT user_id AS key, max(ts) FILTER (event_type = 'view') AS fetched_at, max(ts) FILTER (event_type = 'error') AS failed_at,
+  max(event_id) FILTER (event_type = 'view')::VARCHAR AS etag, CASE WHEN user_id % 3 > 0 THEN max(event_id) FILTER (event_type = 'view')::VARCHAR END AS body
+  FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id)"""
+
+
+def _snapshot(spark, d):
+    of = lambda kind, c: F.max(F.when(F.col("event_type") == kind, F.col(c)))
+    rows = table(spark, d, "events").where("ts < TIMESTAMP '2024-01-16'").groupBy(F.col("user_id").alias("key"))
+    read = of("view", "event_id").cast("string")
+    return rows.agg(of("view", "ts").alias("fetched_at"), of("error", "ts").alias("failed_at"), read.alias("etag"), F.when(F.col("key") % 3 > 0, read).alias("body"))
+
+
+@query(f"""WITH {SNAPSHOT} SELECT event_id, user_id, action, CASE WHEN action = 'fetch' AND held THEN etag END AS if_none_match FROM (
+  SELECT event_id, user_id, etag, coalesce(body IS NOT NULL, false) AS held, CASE WHEN body IS NOT NULL AND ts < fetched_at + INTERVAL 172800 SECOND THEN 'cached'
+  WHEN body IS NULL AND ts < failed_at + INTERVAL 172800 SECOND THEN 'wait' ELSE 'fetch' END AS action
+  FROM events LEFT JOIN snapshot ON key = user_id WHERE ts >= TIMESTAMP '2024-01-16')""")
+def cache_decisions(spark, d):
+    requests = table(spark, d, "events").where("ts >= TIMESTAMP '2024-01-16'").select("event_id", "user_id", F.col("user_id").alias("key"), "ts")
+    return freshness.read_decisions(requests, _snapshot(spark, d), 172800, 172800).drop("key", "ts")
+
+
+@query(f"""WITH {SNAPSHOT}, r AS (SELECT user_id, min_by(ts, (ts, event_id)) AS ts, min_by(CASE event_type WHEN 'error' THEN 500 WHEN 'click' THEN 304 ELSE 200 END, (ts, event_id)) AS status, min(event_id)::VARCHAR AS nb
+  FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id),
+j AS (SELECT coalesce(key, user_id) AS key, fetched_at, failed_at, etag, body, ts, nb, coalesce(status = 200, false) AS rd, coalesce(status = 200 OR (status = 304 AND body IS NOT NULL), false) AS good FROM snapshot FULL JOIN r ON key = user_id)
+SELECT key, CASE WHEN good THEN ts ELSE fetched_at END AS fetched_at, CASE WHEN ts IS NOT NULL AND NOT good THEN ts ELSE failed_at END AS failed_at,
+  CASE WHEN rd THEN nb ELSE etag END AS etag, CASE WHEN rd THEN nb ELSE body END AS body FROM j""")
+def cache_update(spark, d):
+    """The first event of each user after the snapshot is the answer to a read."""
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "click", 304).otherwise(200)
+    order, own = F.struct("ts", "event_id"), F.min("event_id").cast("string")
+    rows = table(spark, d, "events").where("ts >= TIMESTAMP '2024-01-16'").groupBy(F.col("user_id").alias("key"))
+    return freshness.take_responses(_snapshot(spark, d), rows.agg(F.min_by("ts", order).alias("ts"), F.min_by(status, order).alias("status"), own.alias("etag"), own.alias("body")))
+
+
+@query("""SELECT e.event_id, e.user_id, EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.user_id = e.user_id AND x.ts <= e.ts AND e.ts < x.ts + INTERVAL 28800 SECOND) AS blocked
+FROM events e WHERE e.event_type <> 'error'""")
+def quota_cooldown(spark, d):
+    events = table(spark, d, "events").withColumn("key", F.col("user_id"))
+    return freshness.cooling(events.where("event_type <> 'error'").select("event_id", "user_id", "key", "ts"), events.where("event_type = 'error'").select("key", "ts"), 28800).drop("key", "ts")
+
+
+@query("""WITH h AS (SELECT source AS owner, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1),
+f AS (SELECT source AS owner, list(doc_id ORDER BY doc_id) FILTER (substr(source, 4)::INT % 4 = 0 OR (substr(source, 4)::INT % 4 = 1 AND doc_id % 2 = 0)) AS ids FROM documents GROUP BY 1)
+SELECT owner, CASE WHEN f.ids IS NOT DISTINCT FROM h.ids THEN 'keep' WHEN len(f.ids) > 0 THEN 'index' WHEN substr(owner, 4)::INT % 4 = 2 THEN 'keep' ELSE 'clear' END AS action FROM h JOIN f USING (owner)""")
+def library_refresh(spark, d):
+    """Sources as libraries: every fourth is as it was, the next lost chunks, the next could not be read, the next is empty."""
+    number = F.substring("source", 4, 9).cast("int") % 4
+    rows = table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("chunk_id"), number.alias("n"))
+    return freshness.refresh_actions(rows, rows.where("n = 0 OR (n = 1 AND ordinal % 2 = 0)"), rows.where("n = 2").select("owner"))

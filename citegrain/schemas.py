@@ -54,3 +54,5 @@ FLOOR_LIVE, FLOOR_LIMITATIONS, FLOOR_SIMILAR = 1.5, 4.0, 3.0
 SESSION_SECONDS, MOST_SESSIONS, SESSION_PAPERS, MOST_PAGES, MOST_BYTES = 3600, 40, 5, 80, 20 * 1024 * 1024
 RATE_HOUR, RATE_DAY = 20, 600
 LIVE_DAYS, SIMILAR_DAYS = 730, 1825
+CACHE_SECONDS, BACKOFF_SECONDS, LIBRARY_BACKOFF_SECONDS, COOLDOWN_SECONDS = 900, 120, 300, 600
+LIBRARY_CANDIDATES = 10

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions import question as Q
 from citegrain.functions import text as T
-from citegrain.operators import chunking, dense, evaluate, evidence, fusion, grounding, layout, lexical
+from citegrain.operators import chunking, dense, evaluate, evidence, freshness, fusion, grounding, layout, lexical
 from citegrain.plans import pipeline
 from citegrain.schemas import RetrievalConfig
 from citegrain.sources import readers
@@ -187,3 +187,35 @@ def test_sessions_and_empty_tables(spark):
     asked = spark.createDataFrame([(1, "a b")], "qid long, question string")
     assert pipeline.search(asked, pipeline.build(empty), RetrievalConfig()).count() == 0
     assert streams.rate_limit(rows.limit(0)).count() == 0
+
+
+def test_pools_are_composed(spark):
+    ranks = lambda rows: evidence.ranked(pool(spark, rows))
+    corpus = ranks([(q, f"c{k}", f"d{k // 3}", 9.0 - k) for q in (1, 2, 3) for k in range(6)])
+    library, uploads = ranks([(2, "l0", "m", 8.5)]), ranks([(3, f"u{k}", "mine", 1.0 - k) for k in range(3)])
+    out = pipeline.compose(corpus, library, uploads, 6)
+    got = {q: [r["chunk_id"] for r in out.where(F.col("qid") == q).orderBy("rank").collect()] for q in (1, 2, 3)}
+    assert got == {1: [f"c{k}" for k in range(6)], 2: ["c0", "l0", "c1", "c2", "c3", "c4"], 3: ["u0", "u1", "u2", "c0", "c1", "c3"]}
+    assert {r["chunk_id"] for r in out.where("reserved").collect()} == {"l0", "u0", "u1", "u2"}
+
+
+def test_partition_search_and_retrieve(spark):
+    def chunks(rows):
+        return spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")
+
+    corpus = pipeline.build(chunks([("c0", "a", "graph neural networks for molecules"), ("c1", "b", "protein folding with attention")]))
+    library = pipeline.build(chunks([("l0", "l", "graph attention for molecules")]))
+    asked = spark.createDataFrame([(1, "graph molecules")], "qid long, question string")
+    hits = pipeline.search_partition(asked, library, RetrievalConfig(top_k=5), "library").collect()
+    assert [r["chunk_id"] for r in hits] == ["l0"] and "library" in hits[0]["sources"]
+    assert pipeline.search_partition(asked, library, RetrievalConfig(top_k=5), "library", spark.createDataFrame([("a",)], "doc_id string")).count() == 0
+    assert {r["chunk_id"] for r in pipeline.retrieve(asked, corpus, library).collect()} == {"c0", "c1", "l0"}
+
+
+def test_empty_snapshots(spark):
+    snapshot = spark.createDataFrame([], "key long, fetched_at timestamp, failed_at timestamp, etag string, body string")
+    requests = spark.createDataFrame([(1,)], "key long").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    assert [r["action"] for r in freshness.read_decisions(requests, snapshot).collect()] == ["fetch"]
+    failed = freshness.take_responses(snapshot, requests.select("key", "ts", F.lit(503).alias("status"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("body")))
+    assert [r["action"] for r in freshness.read_decisions(requests, failed).collect()] == ["wait"]
+    assert [r["blocked"] for r in freshness.cooling(requests, requests.limit(0)).collect()] == [False]
