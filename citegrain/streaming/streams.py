@@ -56,9 +56,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table of the folder as a stream of files. A table is one file or a folder of them; a stream reads folders, so one file is picked out of its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def drain(stream: DataFrame, keys: list[str], mode: str) -> DataFrame:

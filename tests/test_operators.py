@@ -219,3 +219,16 @@ def test_empty_snapshots(spark):
     failed = freshness.take_responses(snapshot, requests.select("key", "ts", F.lit(503).alias("status"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("body")))
     assert [r["action"] for r in freshness.read_decisions(requests, failed).collect()] == ["wait"]
     assert [r["blocked"] for r in freshness.cooling(requests, requests.limit(0)).collect()] == [False]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path, parts):
+    rows = [(1, "cats sit, cats run"), (2, "dogs run"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    if parts:
+        frame.repartition(parts).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        frame.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    stream = streams.read_stream(spark, str(tmp_path), "documents").select("text")
+    found = streams.drain(streams.stream_document_frequencies(stream), ["term"], "update")
+    assert {r["term"]: r["df"] for r in found.collect()} == {"cats": 1, "sit": 1, "run": 2, "dogs": 1}
