@@ -162,6 +162,16 @@ def test_toxicity_lowers_the_order_that_does_not_fit(spark, monkeypatch):
     assert 2 <= model.order < toxicity.ORDER and model.score("vile") > 0.5 > model.score("kind")
 
 
+def test_toxicity_keeps_its_order_at_any_size(spark, monkeypatch):
+    rows = [(i, f"a{chr(97 + i % 26)}q{chr(97 + i % 23)} {'vile' if i % 2 else 'kind'} c{chr(97 + i % 25)}xyz") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    a = toxicity.train(docs, labels)
+    monkeypatch.setattr(type(docs), "count", lambda self: 1 << 40)  # as if there were as many labels and grams
+    b = toxicity.train(docs, labels)
+    assert a.order == b.order == toxicity.ORDER and a.keys.tolist() == b.keys.tolist()
+
+
 def test_toxicity_joins_labels_either_way(spark, monkeypatch):
     rows = [(i, f"a{chr(97 + i % 26)} {'vile' if i % 2 else 'kind'} c{chr(97 + i % 25)}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
