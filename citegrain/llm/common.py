@@ -28,12 +28,15 @@ def release(spark: SparkSession) -> None:
 
 def trimmed(run):
     """`run`, a function over batches, that gives the memory it has freed back to the system when a task ends: workers are used again by later
-    stages, and what the C library keeps would add up over them."""
+    stages, and what the C library and Arrow's pool keep would add up over them."""
 
     def wrapped(batches):
         import ctypes
 
+        import pyarrow
+
         yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)

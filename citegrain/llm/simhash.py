@@ -34,6 +34,9 @@ GROUP = 16_384
 PARTS = 8
 #: Pairs of rows that a task lays out at once.
 PAIRS = 1 << 19
+#: Where values are probed within a task: a candidate's cost over a probe's; a bucket's rows and pairs beyond which it is split into blocks; and a part's
+#: bits that these are estimated by.
+TASK_PAIR_COST, BUCKET, WORK, COUNTED = 0.3, 1 << 20, 1 << 30, 13
 
 
 def fingerprint_words(words: list[bytes], shingle: int) -> int:
@@ -94,7 +97,7 @@ def _ball(width: int, threshold: int) -> list[int]:
     return [sum(1 << b for b in c) for r in range(threshold + 1) for c in combinations(range(width), r)]
 
 
-def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, total: int, radius: int, pair_cost: float = PAIR_COST) -> list[tuple[list[int], int]]:
     """The parts' bits and thresholds with the least estimated cost for `total` fingerprints."""
     sample = np.unique(sample.astype(np.uint64))
     bits = _bits(sample) if len(sample) > 1 else np.eye(2, BITS, dtype=np.uint8)
@@ -111,7 +114,7 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
             for t in range(0, min(3, radius, len(group) - 1) + 1):
                 ball = len(_ball(len(group), t))
                 share = max(((apart <= t).sum() - len(probe)) / n, ball / 2.0 ** len(group))
-                row[t] = total * (ball * ROW_COST + share * total * PAIR_COST)
+                row[t] = total * (ball * ROW_COST + share * total * pair_cost)
             costs.append(row)
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # thresholds plus one, added up
         for row in costs:
@@ -126,11 +129,6 @@ def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
-#: What links() may be told of each fingerprint's text, to choose the candidates to verify: a sketch of its set of shingles, the set's size and
-#: the text's component so far.
-TOLD = ("sketch", "size", "label")
-
-
 def _probes(parts):
     """Rows (part, value, probe, fp, id): each fingerprint at its own value and at those around it."""
 
@@ -141,7 +139,7 @@ def _probes(parts):
             for k, (group, threshold) in enumerate(parts):
                 own = bits[:, group] @ (1 << np.arange(len(group), dtype=np.int64))
                 for mask in _ball(len(group), threshold):
-                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids} | {c: batch[c] for c in TOLD if c in batch})
+                    yield pd.DataFrame({"part": np.int32(k), "value": own ^ mask, "probe": np.int8(mask != 0), "fp": fps, "id": ids})
 
     return run
 
@@ -215,46 +213,198 @@ def _forest(radius: int, parts):
     return run
 
 
-def _nearest(radius: int, parts, ratio: float):
-    """Of the candidates within each group (of different labels, if there are labels), each one's nearest predecessor and its nearest successor by id, and the
-    bits their sketches differ in."""
+#: What a row of a bucket holds; the label only in the second pass.
+def _row(words: int, labelled: bool) -> np.dtype:
+    return np.dtype([("fp", "<u8"), ("id", "<i8"), ("size", "<i4"), *([("label", "<i8")] if labelled else []), ("sketch", "<u8", (words,))])
+
+
+def _value(bits: np.ndarray, group: list[int]) -> np.ndarray:
+    return bits[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
+
+
+def _own_counts(parts):
+    """(part, value, n): how many fingerprints have each value of a part's first COUNTED bits."""
 
     def run(batches):
-        for gid, probe, fps, ids, sketch, size, *label in _groups(batches, ["gid", "probe", "fp", "id", *TOLD]):
-            fps, n, none = fps.view(np.uint64), len(gid), np.iinfo(np.int64).max
-            sketch = (np.frombuffer(b"".join(sketch), "<u8") if sketch.dtype == object else sketch.view(np.uint64)).reshape(n, -1)
-            most = furthest(ratio, BITS * sketch.shape[1])
-            below, above = np.full(n, none), np.full(n, none)
-            able = (lambda i, j: label[0][i] != label[0][j]) if label else (lambda i, j: ids[i] != ids[j])  # noqa: E731, B023
-            for i, j in _meetings(gid, probe, fps, radius, parts, able):
-                like = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-                i, j = i[like], j[like]
-                apart = np.concatenate([np.bitwise_count(sketch[i[at : at + 65_536]] ^ sketch[j[at : at + 65_536]]).sum(1, dtype=np.int64) for at in range(0, len(i) + 1, 65_536)])
-                may = apart <= most
-                i, j, apart = i[may], j[may], apart[may]
-                turned = ids[i] > ids[j]
-                lo, hi = np.where(turned, j, i), np.where(turned, i, j)
-                np.minimum.at(below, hi, apart * n + lo)
-                np.minimum.at(above, lo, apart * n + hi)
-            b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
-            pairs = {"a": [ids[below[b] % n], ids[a]], "b": [ids[b], ids[above[a] % n]], "apart": [below[b] // n, above[a] // n]}
-            yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int32}).drop_duplicates()
+        sums = [np.zeros(1 << min(len(group), COUNTED), np.int64) for group, _ in parts]
+        for batch in batches:
+            bits = _bits(batch["fp"].to_numpy(np.int64).view(np.uint64))
+            for k, (group, _) in enumerate(parts):
+                sums[k] += np.bincount(_value(bits, group[:COUNTED]), minlength=len(sums[k]))
+        for k, n in enumerate(sums):
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"part": np.int32(k), "value": at.astype(np.int32), "n": n[at]})
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> DataFrame:
-    """(a, b, apart) between the ids of `fps` (id, fp): enough of the links within `radius` bits to join the same components in each group.
+def layout(parts, counts: list[np.ndarray], total: int) -> list[tuple[int, np.ndarray]]:
+    """For each part, by how many of its first bits it is dealt, and the blocks of each bucket: more than one where rows or pairs are many."""
+    out = []
+    for (group, threshold), n in zip(parts, counts):
+        q = min(len(group), COUNTED)
+        at = np.arange(len(n))
+        work = n * sum(n[at ^ mask] for mask in _ball(q, threshold)) / 2
+        p = min(5, q)
+        while p < q and total * (1 + len(_ball(p, threshold))) / 2 > BUCKET << p:
+            p += 1
+        own, work = (np.bincount(at & ((1 << p) - 1), x, 1 << p) for x in (n, work))
+        at = np.arange(1 << p)
+        rows = own + sum(np.where(at ^ mask > at, own[at ^ mask], 0) for mask in _ball(p, threshold)[1:])
+        out.append((p, np.ceil(np.maximum(np.maximum(rows / BUCKET, np.sqrt(work / WORK)), 1)).astype(np.int64)))
+    return out
+
+
+def _buckets(parts, deal, kind: np.dtype):
+    """Rows (key, data): the fingerprints of a batch that meet in a bucket, in one run of bytes. A bucket has those that begin with its bits and those of larger
+    beginnings within the threshold, so two fingerprints meet in one bucket of a part. A bucket of several blocks (by id) has a key for each two of them."""
+
+    def run(batches):
+        for batch in batches:
+            rows = np.zeros(len(batch), kind)
+            for c in ("fp", "id", "size", "label"):
+                if c in kind.names:
+                    rows[c] = batch[c].to_numpy(np.int64).astype(kind[c])
+            rows["sketch"] = (np.frombuffer(b"".join(batch["sketch"]), "<u8") if batch["sketch"].dtype == object else batch["sketch"].to_numpy(np.int64).view(np.uint64)).reshape(len(batch), -1)
+            bits = _bits(rows["fp"])
+            for k, ((group, threshold), (p, blocks)) in enumerate(zip(parts, deal)):
+                own = _value(bits, group[:p])
+                to, who = [], []
+                for mask in _ball(p, threshold):
+                    at = np.flatnonzero(own ^ mask <= own)
+                    goes = own[at] ^ mask
+                    many = blocks[goes]
+                    at, goes, other = np.repeat(at, many), np.repeat(goes, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    block = rows["id"][at] % blocks[goes]
+                    to.append(((np.int64(k) << 20 | goes) << 40) | np.minimum(block, other) << 20 | np.maximum(block, other))
+                    who.append(at)
+                to, who = np.concatenate(to), np.concatenate(who)
+                order = np.argsort(to, kind="stable")
+                keys, first = np.unique(to[order], return_index=True)
+                yield pd.DataFrame({"key": keys, "data": [rows[x].tobytes() for x in np.split(who[order], first[1:])]})
+
+    return run
+
 
-    fps is read more than once and so is best settled. ratio: fps also has `sketch` and `size`, ids are not negative, and links are candidates for
-    this similarity: each row's nearest ones before and after it by sketch, of other labels if fps has a `label` too."""
-    more = {c: fps.schema[c].dataType.simpleString() for c in TOLD if c in fps.columns}
+def _pairs_of(rows, key: int, parts, deal, radius: int):
+    """(i, j): rows of a bucket within the radius, each pair once over all buckets: in the first part where it meets. A bounded number is laid out at once."""
+    k, prefix, two = key >> 60, key >> 40 & ((1 << 20) - 1), (key >> 20 & ((1 << 20) - 1), key & ((1 << 20) - 1))
+    (group, threshold), (p, blocks) = parts[k], deal[k]
+    masks = [(np.uint64(sum(1 << b for b in g)), t) for g, t in parts[:k]]
+    fps, bits = rows["fp"], _bits(rows["fp"])
+    far = np.bitwise_count(_value(bits, group[:p]) ^ prefix).astype(np.int64)
+    rest = _value(bits, group[p:])
+    width = len(group) - p
+    order = np.lexsort((rest, far > 0))
+    own, place = rest[order][: int((far == 0).sum())], np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    start = np.searchsorted(own, np.arange((1 << width) + 1)) if width <= 16 else None
+    block = rows["id"] % blocks[prefix]
+    label = rows["label"] if "label" in rows.dtype.names else rows["id"]
+    for mask in _ball(width, threshold):
+        j = np.flatnonzero(far + mask.bit_count() <= threshold)
+        target = rest[j] ^ mask
+        if mask:  # of two at their own beginnings, the one with the smaller rest looks for the other
+            j = j[(far[j] > 0) | (target > rest[j])]
+            target = rest[j] ^ mask
+        lo, hi = (start[target], start[target + 1]) if start is not None else (np.searchsorted(own, target), np.searchsorted(own, target, "right"))
+        if not mask:
+            lo = np.where(far[j] == 0, place[j] + 1, lo)
+        done = np.cumsum(hi - lo)
+        cuts = np.searchsorted(done, np.arange(PAIRS, int(done[-1]) + PAIRS if len(done) else 0, PAIRS), "right")
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(j))):
+            size = (hi - lo)[a:b]
+            if not size.sum():
+                continue
+            y = np.repeat(j[a:b], size)
+            x = order[np.repeat(lo[a:b], size) + np.arange(len(y)) - np.repeat(np.cumsum(size) - size, size)]
+            apart = fps[x] ^ fps[y]
+            near = np.flatnonzero(np.bitwise_count(apart) <= radius)
+            x, y, apart = x[near], y[near], apart[near]
+            worth = label[x] != label[y]
+            if two[0] != two[1]:
+                worth &= block[x] != block[y]
+            for other, most in masks:
+                worth &= np.bitwise_count(apart & other) > most
+            yield x[worth], y[worth]
+
+
+def _near(radius: int, parts, deal, kind: np.dtype, ratio: float, all_pairs: bool):
+    """Candidates of each bucket with the bits that their sketches differ in: all of them, or each one's nearest before and after it by id (ties: the smaller id)."""
+    most = furthest(ratio, BITS * kind["sketch"].shape[0])
+
+    def found(key, data):
+        rows = np.frombuffer(b"".join(data), kind)
+        ids, size, sketch, n = rows["id"], rows["size"], rows["sketch"], len(rows)
+        by_id = np.argsort(ids)
+        rank = np.empty(n, np.int64)
+        rank[by_id] = np.arange(n)
+        none = np.iinfo(np.int64).max
+        below, above = np.full(n, none), np.full(n, none)
+        for i, j in _pairs_of(rows, key, parts, deal, radius):
+            like = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+            i, j = i[like], j[like]
+            apart = np.concatenate([np.bitwise_count(sketch[i[at : at + 65_536]] ^ sketch[j[at : at + 65_536]]).sum(1, dtype=np.int64) for at in range(0, len(i) + 1, 65_536)])
+            may = apart <= most
+            i, j, apart = i[may], j[may], apart[may]
+            turned = ids[i] > ids[j]
+            lo, hi = np.where(turned, j, i), np.where(turned, i, j)
+            if all_pairs:
+                yield pd.DataFrame({"a": ids[lo], "b": ids[hi], "apart": apart.astype(np.int32)})
+                continue
+            np.minimum.at(below, hi, apart * n + rank[lo])
+            np.minimum.at(above, lo, apart * n + rank[hi])
+        b, a = np.flatnonzero(below < none), np.flatnonzero(above < none)
+        pairs = {"a": [ids[by_id[below[b] % n]], ids[a]], "b": [ids[b], ids[by_id[above[a] % n]]], "apart": [below[b] // n, above[a] // n]}
+        yield pd.DataFrame({c: np.concatenate(x) for c, x in pairs.items()}).astype({"apart": np.int32}).drop_duplicates()
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for own, data in zip(batch["key"].tolist(), batch["data"]):
+                if own != key and held:
+                    yield from found(key, held)
+                    held = []
+                key = own
+                held.append(data)
+        if held:
+            yield from found(key, held)
+
+    return run
+
+
+def candidates(fps: DataFrame, radius: int, ratio: float, all_pairs: bool) -> DataFrame:
+    """(a, b, apart) between the ids (not negative) of `fps` (id, fp, sketch, size, perhaps label), which is settled: pairs within `radius` bits, of different labels,
+    that sizes and sketches let have the similarity `ratio`. All of them, or the nearest ones by sketch. What is found does not depend on the plan.
+
+    Fingerprints meet by the first bits of a part; the part's other bits are probed within a task. So a text is dealt some ten times for a part however
+    many values it probes, and as bytes, not as rows."""
+    total = fps.count()
+    # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver; it only decides the plan's cost
+    sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    parts = plan(sample, total, radius, TASK_PAIR_COST)
+    counts = [np.zeros(1 << min(len(group), COUNTED), np.int64) for group, _ in parts]
+    # at most PARTS << COUNTED rows
+    for r in fps.select("fp").mapInPandas(trimmed(_own_counts(parts)), "part int, value int, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).collect():
+        counts[r["part"]][r["value"]] = r["n"]
+    deal = layout(parts, counts, total)
+    wide = fps.schema["sketch"].dataType.simpleString() == "binary"
+    kind = _row(LONG if wide else SHORT, "label" in fps.columns)
+    columns = [c for c in ("fp", "id", "size", "label", "sketch") if c in fps.columns]
+    dealt = fps.select(*columns).mapInPandas(trimmed(_buckets(parts, deal, kind)), "key long, data binary")
+    dealt = dealt.repartition(partitions(fps), "key").sortWithinPartitions("key")
+    return dealt.mapInPandas(trimmed(_near(radius, parts, deal, kind, ratio, all_pairs)), "a long, b long, apart int")
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, apart) between the ids of `fps` (id, fp): enough of the links within `radius` bits to join the same components in each group; apart is 0.
+
+    fps is read more than once and so is best settled."""
     total = fps.count()
     # a bounded sample, spread by a hash: at most SAMPLE rows come to the driver
     sample = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts = plan(sample, total, radius)
-    how = _forest(radius, parts) if ratio is None else _nearest(radius, parts, ratio)
-    rows = fps.select("id", "fp", *more).mapInPandas(trimmed(_probes(parts)), ", ".join(["part int, value long, probe byte, fp long, id long", *(f"{c} {kind}" for c, kind in more.items())]))
+    rows = fps.select("id", "fp").mapInPandas(trimmed(_probes(parts)), "part int, value long, probe byte, fp long, id long")
     # Hot values: at most one in GROUP rows, known before the rows are dealt.
     hot = settle(rows.groupBy("part", "value").count().where(F.col("count") > GROUP).select("part", "value", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("blocks")))
     if hot.limit(1).count():
@@ -264,8 +414,8 @@ def links(fps: DataFrame, radius: int = RADIUS, ratio: float | None = None) -> D
     else:
         rows = rows.withColumn("gid", F.xxhash64("part", "value"))
     rows = rows.withColumn("gid", F.col("gid").bitwiseAND(F.lit(-PARTS)).bitwiseOR(F.col("part").cast("long")))
-    dealt = rows.select("gid", "probe", "fp", "id", *more).repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
-    return dealt.mapInPandas(trimmed(how), "a long, b long, apart int").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    dealt = rows.select("gid", "probe", "fp", "id").repartition(partitions(fps), "gid").sortWithinPartitions("gid", "probe", "id")
+    return dealt.mapInPandas(trimmed(_forest(radius, parts)), "a long, b long, apart int").groupBy("a", "b").agg(F.min("apart").alias("apart"))
 
 
 def label_documents(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -285,6 +435,8 @@ WORD_RADIUS, PAIR_SHINGLE, SIMILARITY = 12, 5, 0.8
 #: Words of 64 bits in the sketch that every text has and in the one that only texts with a candidate have.
 SHORT, LONG = 1, 8
 _SALTS = np.random.default_rng(SEED).integers(1, 1 << 62, LONG * BITS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Texts of a group that are verified together against as many of another.
+TILE = 64
 #: Rows of two longs that may be broadcast to the documents, so that no text is shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 22
 
@@ -363,41 +515,65 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _tiles(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs (a, b) with the tile they are verified in: texts are numbered by label, so that the pairs of two groups are few tiles and a set is sent to a tile once."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # a label's texts in blocks of about TILE, by a hash, so that no task numbers a large group
+    known = ends.join(labels.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = known.groupBy("label").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    placed = settle(known.join(sizes, "label").select("id", F.xxhash64("label", F.pmod(F.xxhash64("id"), "blocks")).alias("block")))
+    own, other = placed.select(F.col("id").alias("a"), F.col("block").alias("x")), placed.select(F.col("id").alias("b"), F.col("block").alias("y"))
+    tile = F.xxhash64(F.least("x", "y"), F.greatest("x", "y"))
+    return settle(pairs.select("a", "b").join(own, "a").join(other, "b").select(tile.alias("tile"), "a", "b"))
+
+
+def _verify(similarity: float):
+    def run(pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(members["id"].tolist(), members["set"]))
+        out = []
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return pairs.loc[np.array(out, bool), ["a", "b"]]
+
+    return run
+
+
 def near_links(documents: DataFrame, shingle: int = PAIR_SHINGLE, similarity: float = SIMILARITY, radius: int = WORD_RADIUS) -> tuple[DataFrame, DataFrame]:
     """(classes, found): classes (id, least, copies) has a row for each different text, its least doc_id and how many rows have both; found (a, b) are
-    links between ids of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`.
+    links between ids of texts whose sets of word shingles have a Jaccard similarity of at least `similarity`: enough of them to join what all of them join.
 
-    Each class is verified against its nearest candidates before and after it over all groups of fingerprints, by a short sketch of its shingles; then
-    against its nearest ones that these links do not join to it, by a long sketch, which tells the copies of a large group apart. So the pairs are
-    at most four for each text, however large its group is. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
+    Each class is verified against its nearest candidates before and after it over all fingerprints, by a short sketch of its shingles. Then every candidate
+    pair that these links do not join yet is verified, if long sketches let it be similar. So a large group of copies is joined by two pairs for each text, and
+    what is verified of it besides are pairs with texts outside of it. A text's candidates have each at least one nearest one, so the sets of all are at hand."""
     keyed = _keyed(documents)
     prints = keyed.mapInPandas(trimmed(_prints(shingle)), "doc_id long, id long, fp long, sketch long, size int")
     rows = settle(prints.groupBy("id", "doc_id").agg(F.first(F.struct("fp", "sketch", "size")).alias("print"), F.count("*").alias("copies")))
     first = rows.groupBy("id").agg(F.min(F.struct("doc_id", "copies", "print")).alias("first"))
     classes = settle(first.select("id", F.col("first.doc_id").alias("least"), F.col("first.copies").alias("copies"), "first.print.*"))
 
-    def chosen_of(proposed: DataFrame) -> DataFrame:
-        before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
-        after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
-        return settle(before.unionByName(after).distinct())
-
-    chosen = chosen_of(settle(links(classes.select("id", "fp", "sketch", "size"), radius, similarity)))
+    proposed = settle(candidates(classes.select("id", "fp", "sketch", "size"), radius, similarity, False))
+    before = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("near")).select(F.col("near.a").alias("a"), "b")
+    after = proposed.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
+    chosen = settle(before.unionByName(after).distinct())
     ends = chosen.select(F.col("a").alias("id")).unionByName(chosen.select(F.col("b").alias("id"))).distinct()
     wanted = settle(classes.select("id", F.col("least").alias("doc_id")).join(ends, "id"))
     texts = keyed.join(_small(wanted), ["doc_id", "id"])
     sets = settle(texts.select("id", "text").mapInPandas(trimmed(_shingle_sets(shingle)), "id long, set array<int>, sketch binary").dropDuplicates(["id"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        paired = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
-        both = F.size(F.array_intersect("left", "right"))
-        return settle(paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b"))
+    paired = chosen.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
+    both = F.size(F.array_intersect("left", "right"))
+    found = settle(paired.where(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b"))
 
-    found = verified(chosen)
     joined = components(found).select(F.col("node").alias("id"), "label")
     apart = classes.select("id", "fp", "size").join(sets.select("id", "sketch"), "id").join(joined, "id", "left")
     apart = settle(apart.select("id", "fp", "sketch", "size", F.coalesce("label", "id").alias("label")))
-    rest = chosen_of(settle(links(apart, radius, similarity)))
-    return classes.select("id", "least", "copies"), found.unionByName(verified(rest))
+    rest = settle(candidates(apart, radius, similarity, True).select("a", "b").join(chosen, ["a", "b"], "left_anti"))
+    tiles = _tiles(rest, apart)
+    members = tiles.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "set"), "id")
+    more = settle(tiles.groupBy("tile").cogroup(members.groupBy("of")).applyInPandas(_verify(similarity), "a long, b long"))
+    return classes.select("id", "least", "copies"), found.unionByName(more)
 
 
 def drop_near_duplicates(documents: DataFrame, **how) -> DataFrame:

@@ -447,6 +447,50 @@ def test_near_duplicates_with_added_blocks(spark):
     assert 600 - len(left) >= 0.9 * want
 
 
+@pytest.mark.parametrize("bucket", [None, 40])
+def test_candidates_are_all_pairs_or_each_ones_nearest(spark, monkeypatch, bucket):
+    """Whatever the plan: also where buckets are split into blocks."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+    near = np.concatenate([base[:20] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (rng.integers(1, 12), 20)).astype(np.uint64), axis=0) for _ in range(12)])
+    fps = np.unique(np.concatenate([base, near]))
+    ids, sketches = rng.permutation(len(fps)) * 7, rng.integers(0, 1 << 8, len(fps))
+    rows = spark.createDataFrame([(int(i), int(f), int(s), 10) for i, f, s in zip(ids, fps.view(np.int64), sketches)], "id long, fp long, sketch long, size int")
+    if bucket:
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "WORK", 200)
+    want = {}
+    for i in range(len(fps)):
+        for j in range(len(fps)):
+            if ids[i] < ids[j] and int(fps[i] ^ fps[j]).bit_count() <= 12:
+                want[int(ids[i]), int(ids[j])] = int(sketches[i] ^ sketches[j]).bit_count()
+    assert len(want) > 500
+    got = simhash.candidates(rows, 12, 0.8, True).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["apart"] for r in got} == want
+    some = {(r["a"], r["b"]): r["apart"] for r in simhash.candidates(rows, 12, 0.8, False).collect()}
+    for k in range(2):
+        for x in {p[k] for p in want}:
+            best = min((n, p) for p, n in want.items() if p[k] == x)
+            assert min((n, p) for p, n in some.items() if p[k] == x) == best and some.items() <= want.items()
+
+
+def test_a_link_is_found_behind_nearer_candidates(spark):
+    """A text with a link of similarity 0.804 among thirty candidates of 0.796, which are as near by their sketches."""
+    rng = np.random.default_rng(8)
+    rows, wanted = [], []
+    for c in range(12):
+        words = [f"c{c}w{k}" for k in range(400)]
+        changed = lambda v, at, m: words[:at] + [f"c{c}v{v}n{k}" for k in range(m)] + words[at + m :]  # noqa: E731, B023
+        rows += [(100 * c, " ".join(words)), (100 * c + 1, " ".join(changed(0, 180, 39)))]
+        rows += [(100 * c + 1 + v, " ".join(changed(v, int(rng.integers(5, 350)), 41))) for v in range(1, 31)]
+        prints = [simhash.fingerprint_words([w.encode() for w in t.split()], 1) for _, t in rows[-32:-30]]
+        if (prints[0] ^ prints[1]).bit_count() <= simhash.WORD_RADIUS:
+            wanted.append(100 * c + 1)
+    assert len(wanted) >= 6
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not left & set(wanted) and {100 * c for c in range(12)} <= left
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for words in (simhash.SHORT, simhash.LONG):
