@@ -1,12 +1,13 @@
 """Hand-computed expectations of the retrieval operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import question as Q
 from citegrain.functions import text as T
-from citegrain.operators import chunking, dense, evaluate, evidence, freshness, fusion, grounding, layout, lexical
-from citegrain.plans import pipeline
+from citegrain.operators import blocks, chunking, dense, evaluate, evidence, freshness, fusion, grounding, layout, lexical
+from citegrain.plans import catalogue, pipeline
 from citegrain.schemas import RetrievalConfig
 from citegrain.sources import readers
 from citegrain.streaming import streams
@@ -232,3 +233,56 @@ def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path, parts):
     stream = streams.read_stream(spark, str(tmp_path), "documents").select("text")
     found = streams.drain(streams.stream_document_frequencies(stream), ["term"], "update")
     assert {r["term"]: r["df"] for r in found.collect()} == {"cats": 1, "sit": 1, "run": 2, "dogs": 1}
+
+
+def _odd_documents(spark):
+    """Copies, ties, repeated words, null and empty texts, and ids that several rows share."""
+    import random
+
+    deal = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["the", "de", "L-1", "Zürich", "3.5"]
+    texts = [" ".join(words[min(int(deal.expovariate(0.08)), len(words) - 1)] for _ in range(deal.randint(1, 30))) for _ in range(150)]
+    rows = [(i, texts[i % 110] if i % 7 else texts[3] if i % 2 else "de de la " + texts[i]) for i in range(150)]
+    rows += [(20, texts[5]), (20, texts[6]), (33, texts[8]), (33, texts[8]), (None, texts[9]), (None, texts[10]), (151, None), (160, ""), (180, "the of"), (200, "unseen " * 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk_id", F.col("doc_id").cast("string")).repartition(5)
+
+
+@pytest.mark.parametrize("limits", [{}, {"first": 16, "ratio": 2, "most": 60}, {"first": 1, "ratio": 3, "most": 1}])
+def test_blocks_find_what_the_join_finds(spark, limits):
+    rows = _odd_documents(spark)
+    asked = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("qid"), F.substring("text", 1, 30).alias("question"))
+    index = lexical.build_index(rows)
+    joined = lexical.bm25(asked, index, 7)
+    pairs = joined.select("qid", "chunk_id").where("chunk_id is not null").join(asked, "qid")
+    scored = {(r.qid, r.chunk_id): r.rerank_score for r in fusion.overlap_reranker(pairs, index).collect()}
+    ours = blocks.bm25(asked, rows, 7, **limits).withColumn("again", fusion.overlap_score("covered", "total")).collect()
+    key = lambda r: (r.qid, r["rank"], r.chunk_id or "", r.score)
+    assert sorted(map(key, ours)) == sorted(map(key, joined.collect())) and len(ours) > 900
+    assert {(r.qid, r.chunk_id): r.again for r in ours if r.chunk_id} == scored
+
+
+def test_units_are_rounded_as_decimals(spark):
+    values = [0.0, 1e-10, 5e-10, 1.4999999995, 2.0000000005, 0.1234567895, 12.3456789125, 7.0000000015, 1234.5678901235]
+    cast = spark.createDataFrame([(v,) for v in values], "x double").select((F.col("x").cast("decimal(28,9)") * 1_000_000_000).cast("long")).collect()
+    assert blocks.units(np.array(values)).tolist() == [r[0] for r in cast]
+
+
+def test_similar_documents_keep_little(spark, tmp_path):
+    """What is shuffled and written to the checkpoint folder is less than the texts: it does not follow the pairs of questions and documents."""
+    import random
+
+    deal = random.Random(1)
+    texts = [" ".join(f"word{min(int(deal.expovariate(0.01)), 3000)}" for _ in range(300)) for _ in range(600)]
+    spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    context = spark.sparkContext
+    before = context._jsc.sc().getCheckpointDir()
+    shuffled = lambda: context._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    moved = -shuffled()
+    context.setCheckpointDir(str(tmp_path / "kept"))
+    try:
+        assert catalogue.similar_documents(spark, str(tmp_path)).count() > 30
+        moved += shuffled() + sum(p.stat().st_size for p in (tmp_path / "kept").rglob("part-*"))
+    finally:
+        if before.isDefined():
+            context.setCheckpointDir(before.get())
+    assert 0 < moved < sum(map(len, texts))
